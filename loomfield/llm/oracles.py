@@ -44,4 +44,13 @@ o AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,
              coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN before + size * 0.5 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o"""
 
-ORACLES: dict[str, str] = {"op5_quality_rules": RULES, "op6_mixing": MIXING}
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": RULES, "op6_mixing": MIXING, "op7_topk": TOPK}

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules
+from . import classifier, licenses, mixing, packing, pii, rules, topk
 from .scratch import read
 
 
+#: key of the registered query; a production run names its own
+PII_KEY = "corpus"
+
+
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -21,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(read(spark, sf_dir, "documents")))
     failed = F.col("fail_bits").bitwiseAND(F.lit(rules.BASE).cast("long")) != 0
@@ -31,8 +39,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_topk": op7_topk,
+    "op8_pii": op8_pii,
+    "op10_classifier": op10_classifier,
 }
