@@ -65,4 +65,14 @@ c AS (SELECT a AS doc_id, min(b) AS root FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op5_quality_rules": RULES, "op2_minhash": NEAR, "op6_mixing": MIXING, "op7_topk": TOPK}
+SPANS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM win) WHERE owner < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, (SELECT unnest(generate_series(0, 12)) AS k)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": RULES, "op2_minhash": NEAR, "op6_mixing": MIXING, "op7_topk": TOPK, "op9_substrings": SPANS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, licenses, minhash, mixing, packing, pii, rules, topk
+from . import classifier, licenses, minhash, mixing, packing, pii, rules, topk, wordspans
 from .scratch import read
 
 
@@ -52,6 +52,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordspans.remove_spans(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
     "op8_pii": op8_pii,
+    "op9_substrings": op9_substrings,
     "op10_classifier": op10_classifier,
 }
