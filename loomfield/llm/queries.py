@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, licenses, minhash, mixing, packing, pii, rules, topk, wordspans
+from . import bytespans, classifier, licenses, minhash, mixing, packing, pii, rules, topk, wordspans
 from .scratch import read
 
 
@@ -21,6 +21,10 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytespans.remove_strings(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixes": op1_suffixes,
     "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,
