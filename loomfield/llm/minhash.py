@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -161,3 +161,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     member = sig.select("doc_id", "n", "d1", "d2").join(per_class, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay; of rows that repeat doc_id and text one stays."""
+    gone = near_duplicates(docs, width, percent, scratch=scratch).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    keyed, free = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
+    left = keyed.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = F.coalesce(F.lag("_text").over(Window.partitionBy("doc_id").orderBy("_text")) == F.col("_text"), F.lit(False))
+    return left.withColumn("_again", again).where(~F.col("_again")).select(docs.columns).unionByName(free.select(docs.columns))

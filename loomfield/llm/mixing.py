@@ -95,3 +95,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     edge = placed.where(F.col("bin") == F.col("bin_from")).withColumn("extra", (words_before + F.col("size") * 0.5 <= F.col("rest")).cast("long"))
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return done.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Documents without words go."""
+    taken = mix(docs, weights, most, seed, scratch).where("copies > 0")
+    # rows that agree in these three are taken alike
+    taken = taken.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_source": F.coalesce("source", F.lit("")), "_size": size})
+    found = rows.join(taken, ["_id", "_source", "_size"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
