@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,97 +45,108 @@ def levels(length: int, first: int = 3) -> list[int]:
     return out[::-1]
 
 
-def representatives(h: np.ndarray, level: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all ``level``-word windows, and for each ``length``-word window the place of its representative."""
-    keys = W.windows(h, level)
-    if len(h) < length:
-        return keys, np.zeros(0, np.int64)
-    return keys, W.sliding_min(keys, length - level + 1)
+@dataclass
+class Words:
+    """Hashed words of a batch of texts in one array; windows that reach into the next text are left out."""
 
+    h: np.ndarray
+    bounds: np.ndarray
+    length: int
 
-def segments(h: np.ndarray, level: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of long windows with one representative: its hash, the first and last window, a hash of the words."""
-    keys, place = representatives(h, level, length)
-    if not len(place):
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z.astype(np.uint64)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    end = np.r_[start[1:], len(place)] - 1
-    at = place[start]
-    # the representative's place in the segment is part of what must agree
-    return keys[at], start, end, W.mix(W.ranges(W.prefix(h), start, end + length) + (at - start).astype(np.uint64))
+    def __post_init__(self) -> None:
+        self.text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        n = len(self.h) - self.length + 1
+        self.at = np.flatnonzero(self.text[:n] == self.text[self.length - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
+    def representatives(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all ``level``-word windows, and for each long window in ``at`` the place of its representative."""
+        keys = W.windows(self.h, level)
+        if not len(self.at):
+            return keys, self.at
+        return keys, W.sliding_min(keys, self.length - level + 1)[self.at]
 
-def _each(docs: DataFrame, schema: str, make: Callable[[np.ndarray, dict], list[np.ndarray]]) -> DataFrame:
-    """Rows of hashes for each document: ``make`` gets its words' hashes and its other columns."""
+    def segments(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of long windows with one representative: its hash, first and last window, a hash of the words."""
+        keys, place = self.representatives(level)
+        first = np.flatnonzero(np.diff(place, prepend=-1) != 0)
+        start, end = self.at[first], self.at[np.r_[first[1:], len(place)] - 1] if len(place) else self.at
+        where = place[first]
+        # the representative's place in the segment is part of what must agree
+        return keys[where], start, end, W.mix(W.ranges(W.prefix(self.h), start, end + self.length) + (where - start).astype(np.uint64))
+
+
+def _once(text: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of text and hashes."""
+    key = W.tagged(columns[0], text)
+    for c in columns[1:]:
+        key = W.mix(key + c)
+    _, i = np.unique(key, return_index=True)
+    return (text[i], *[c[i] for c in columns])
+
+
+def _lists(column: pa.Array) -> np.ndarray:
+    """Tags of the hashes in an array column: text and hash; null is empty."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    text = np.repeat(np.arange(len(column)), np.diff(offsets))
+    return W.tagged(values[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64), text)
+
+
+def _each(docs: DataFrame, schema: str, length: int, make: Callable[[Words, pa.RecordBatch], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows of hashes: ``make`` returns the text's place in the batch and columns of hashes."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.Hashes()
         for b in batches:
             for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                cols = {n: part.column(n) for n in part.schema.names}
-                out, ids = [], []
-                for i in range(part.num_rows):
-                    h = W.hashed(W.split(cols["text"][i].as_py()), cache)
-                    made = make(h, {n: _numpy(c[i]) for n, c in cols.items() if n not in ("doc_id", "text")})
-                    out.append(made)
-                    ids.append(np.full(len(made[0]), cols["doc_id"][i].as_py(), np.int64))
-                if out:
-                    arrays = [pa.array(np.concatenate([o[k] for o in out]).view(np.int64)) for k in range(len(names) - 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *arrays], names=names)
+                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, 128)]) for c in b.columns], names=b.schema.names)
+                text, *columns = make(Words(*W.many(part.column("text").to_pylist()), length), part)
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), *[pa.array(c.view(np.int64)) for c in columns]], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _numpy(cell: pa.Scalar) -> np.ndarray:
-    """An array cell as unsigned hashes; null is empty."""
-    return cell.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if cell.is_valid else np.zeros(0, np.uint64)
-
-
-def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3, salt: int = 0) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3) -> DataFrame:
     """doc_id and text of every row with the hashes to remove: ``whole`` segments and single ``windows``."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     last = levels(length, first)[-1]
     alive, below = texts, None
     for level in levels(length, first):
 
-        def candidates(h: np.ndarray, more: dict, level: int = level, below: int | None = below) -> list[np.ndarray]:
-            keys, place = representatives(h, level, length)
+        def candidates(w: Words, part: pa.RecordBatch, level: int = level, below: int | None = below) -> tuple[np.ndarray, ...]:
+            keys, place = w.representatives(level)
+            text = w.text[w.at]
             if below is not None and len(place):
-                lower, its = representatives(h, below, length)
-                place = place[np.isin(lower[its], more["alive"])]
-            return [np.unique(keys[np.unique(place)])]
+                lower, its = w.representatives(below)
+                on = np.isin(W.tagged(lower[its], text), _lists(part.column("alive")))
+                place, text = place[on], text[on]
+            return _once(text, keys[place])
 
-        found = _each(alive, "doc_id long, key long", candidates)
+        found = _each(alive, "doc_id long, key long", length, candidates)
         shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
         kept = found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("alive"))
         alive, below = texts.join(kept, "doc_id"), level
 
-    def whole(h: np.ndarray, more: dict) -> list[np.ndarray]:
-        key, _, _, words = segments(h, last, length)
-        on = np.isin(key, more["alive"])
-        pair = np.unique(np.stack([key[on], words[on]], 1), axis=0)
-        return [pair[:, 0].copy(), pair[:, 1].copy()]
+    def whole(w: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        key, start, _, words = w.segments(last)
+        on = np.isin(W.tagged(key, w.text[start]), _lists(part.column("alive")))
+        return _once(w.text[start[on]], key[on], words[on])
 
-    rows = _each(alive, "doc_id long, key long, words long", whole)
+    rows = _each(alive, "doc_id long, key long, words long", length, whole)
     distinct = rows.groupBy("key", "words").agg(F.min("doc_id").alias("owner"))
     several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.lit(True).alias("several"))
     judged = rows.join(distinct.join(several, "key", "left"), ["key", "words"])
     judged = judged.where("owner < doc_id OR several").withColumn("gone", F.col("owner") < F.col("doc_id"))
     per_doc = judged.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone"), F.col("words"))).alias("whole"), F.collect_list(F.when(~F.col("gone"), F.col("words"))).alias("open"))
 
-    def single(h: np.ndarray, more: dict) -> list[np.ndarray]:
-        _, start, end, words = segments(h, last, length)
-        on = np.isin(words, more["open"])
+    def single(w: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        _, start, end, words = w.segments(last)
+        on = np.isin(W.tagged(words, w.text[start]), _lists(part.column("open")))
         place = np.concatenate([np.arange(a, b + 1) for a, b in zip(start[on], end[on])] or [np.zeros(0, np.int64)])
-        one, two = W.windows(h, length, 1), W.windows(h, length, 2)
-        pair = np.unique(np.stack([one[place], two[place]], 1), axis=0)
-        return [pair[:, 0].copy(), pair[:, 1].copy()]
+        return _once(w.text[place], W.windows(w.h, length, 1)[place], W.windows(w.h, length, 2)[place])
 
     open_ = texts.join(per_doc.where(F.size("open") > 0).select("doc_id", "open"), "doc_id")
-    windows = _each(open_, "doc_id long, one long, two long", single)
+    windows = _each(open_, "doc_id long, one long, two long", length, single)
     owner = windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").select("one", "two", "owner")
     gone = windows.join(owner, ["one", "two"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list("one").alias("windows"))
     nothing = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("whole"), F.array().cast("array<long>").alias("windows"))
@@ -147,32 +159,32 @@ def remove_spans(docs: DataFrame, length: int = 13, first: int = 3) -> DataFrame
     last = levels(length, first)[-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.Hashes()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                n, removed, digest, spans = [], [], [], []
-                for i in range(part.num_rows):
-                    words = W.split(part.column("text")[i].as_py())
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    whole, single = _numpy(part.column("whole")[i]), _numpy(part.column("windows")[i])
-                    if len(whole) or len(single):
-                        h = W.hashed(words, cache)
-                        _, start, end, content = segments(h, last, length)
-                        on = np.isin(content, whole)
-                        np.add.at(gone, start[on], 1)
-                        np.add.at(gone, end[on] + length, -1)
-                        if len(single):
-                            place = np.flatnonzero(np.isin(W.windows(h, length, 1), single))
-                            np.add.at(gone, place, 1)
-                            np.add.at(gone, place + length, -1)
-                    mask = np.cumsum(gone[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(np.r_[0, mask.view(np.int8), 0]))
-                    n.append(len(words))
-                    removed.append(int(mask.sum()))
-                    digest.append(hashlib.sha256(b" ".join([w for w, m in zip(words, mask.tolist()) if not m] if mask.any() else words)).hexdigest())
+            for begin in range(0, b.num_rows, 128):
+                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(begin, 128)]) for c in b.columns], names=b.schema.names)
+                texts = part.column("text").to_pylist()
+                w = Words(*W.many(texts), length)
+                gone = np.zeros(len(w.h) + 1, np.int64)
+                whole, single = _lists(part.column("whole")), _lists(part.column("windows"))
+                if len(whole):
+                    _, start, end, content = w.segments(last)
+                    on = np.isin(W.tagged(content, w.text[start]), whole)
+                    np.add.at(gone, start[on], 1)
+                    np.add.at(gone, end[on] + length, -1)
+                if len(single):
+                    place = w.at[np.isin(W.tagged(W.windows(w.h, length, 1)[w.at], w.text[w.at]), single)]
+                    np.add.at(gone, place, 1)
+                    np.add.at(gone, place + length, -1)
+                mask = np.cumsum(gone[:-1]) > 0
+                removed, digest, spans = [], [], []
+                for text, a, z in zip(texts, w.bounds[:-1].tolist(), w.bounds[1:].tolist()):
+                    own, words = mask[a:z], W.split(text)
+                    n = int(own.sum())
+                    removed.append(n)
+                    digest.append(hashlib.sha256(b" ".join([x for x, m in zip(words, own.tolist()) if not m] if n else words)).hexdigest())
+                    edge = np.flatnonzero(np.diff(np.r_[0, own.view(np.int8), 0])) if n else np.zeros(0, np.int64)
                     spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, span)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(w.bounds), pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, span)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
     return repeated_spans(docs, length, first).mapInArrow(run, schema)
