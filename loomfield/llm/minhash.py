@@ -9,9 +9,10 @@ compared. With 32 bands of 4 coordinates a pair at similarity 0.75 is missed wit
 Equal sets are one class and are compared once. A small bucket compares all its classes (a bounded
 number of pairs). A larger one compares each class with its first class; as long as its classes
 fall into more than one component so far, classes outside its largest component are compared with
-all of it, 8 of them in the next round, 64 in the one after, and so on. At the end any two classes
-of a bucket are connected or were compared (or one of each two was compared with the whole bucket),
-so no link is lost, and a group of thousands of near copies costs a few pairs per member.
+all of it, 64 of them in the next round, 4096 in the one after, and so on. At the end any two
+classes of a bucket are connected or one of them was compared with the whole bucket, so no link is
+lost. These comparisons are made in blocks of members with their bucket's leaders, so pairs are
+compared without being rows.
 
 Buckets, links and components stay in DataFrames; a round's tables are in the shared folder.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ from .components import components
 from .scratch import Scratch
 
 SMALL = 8  # classes in a bucket of which all pairs are compared
+LEADERS = 64  # classes of a bucket that are compared with all of it in the second round
 
 
 def shingles(text: str | None, width: int, cache: W.Hashes) -> np.ndarray:
@@ -111,6 +114,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _verified_blocks(chosen: DataFrame, members: DataFrame, sets: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
+    """Links between leaders and members of the same bucket; both come as band, id, m (bucket size).
+
+    A bucket's members are dealt to parts of about ``chunk`` by hash, and each part gets the bucket's
+    leaders. Sets are joined once per class and then copied to its buckets; pairs are never rows.
+    """
+    parts = F.ceil(F.col("w.m") / chunk)
+    per_id = lambda rows: rows.groupBy("id").agg(F.collect_list(F.struct("band", "m")).alias("ws"))
+    member = per_id(members).join(sets, "id").select("id", "s", F.explode("ws").alias("w")).select(F.xxhash64("w.band", F.pmod(F.xxhash64("id"), parts)).alias("g"), "id", "s")
+    leader = per_id(chosen).join(sets.select("id", F.col("s").alias("t")), "id").select(F.col("id").alias("leader"), "t", F.explode("ws").alias("w"))
+    leader = leader.select("leader", "t", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")).select(F.xxhash64("w.band", "part").alias("h"), "leader", "t")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[np.ndarray] = []
+        for at in range(0, len(left) if len(right) else 0, chunk):
+            part = left.iloc[at : at + chunk]
+            ids, size = part["id"].to_numpy(), part["s"].map(len).to_numpy()
+            flat, start = np.concatenate(part["s"].to_list()), np.r_[0, np.cumsum(size)[:-1]]
+            for a, t in zip(right["leader"], right["t"]):
+                own = np.sort(np.asarray(t))
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[place] == flat).astype(np.int64), start)
+                similar = (100 * both >= percent * (len(own) + size - both)) & (ids != a)
+                found.append(np.stack([np.full(int(similar.sum()), a), ids[similar]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": pairs.min(0), "b": pairs.max(0)})
+
+    return member.groupBy("g").cogroup(leader.groupBy("h")).applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, a row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -135,27 +168,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     links = scratch.table(_verified(pairs, sets, percent), "links-1")
 
     roots = scratch.table(components(links, scratch, "cc-1"), "roots-1")
-    leaders = large.select("band", F.col("first").alias("id")).distinct()  # classes compared with all of their bucket
-    done, step, most = pairs, 1, SMALL
+    active, step, most = large.select("band", "id", "m"), 1, LEADERS
     while True:
-        placed = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+        placed = active.groupBy("id").agg(F.collect_list(F.struct("band", "m")).alias("ws")).join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.explode("ws").alias("w")).select("id", "root", "w.*")
         per_root = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
-        main = per_root.groupBy("band").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.root").alias("main"))
-        outside = placed.join(main, "band").where("root <> main").join(leaders, ["band", "id"], "left_anti")
-        # the next leaders: ranked by hash within a bucket through counting, not by gathering it
-        share = outside.groupBy("band").agg(F.count(F.lit(1)).alias("out"))
-        chosen = outside.join(share, "band").where((F.col("out") <= most) | (F.pmod(F.xxhash64("band", "id", F.lit(step)), F.col("out")) < most)).select("band", "id", "n")
-        chosen = scratch.table(chosen, f"leaders-{step}")
-        if chosen.isEmpty():
+        main = per_root.groupBy("band").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all")).where("parts > 1").select("band", F.col("top.root").alias("main"), (F.col("all") - F.col("top.k")).alias("out"))
+        outside = scratch.table(placed.join(main, "band").where("root <> main").select("band", "id", "m", "out"), f"outside-{step}")
+        if outside.isEmpty():
+            break
+        # the next leaders of a bucket: all that are outside if they are few, else a share of them by hash
+        chosen = outside.where((F.col("out") <= most) | (F.pmod(F.xxhash64("band", "id", F.lit(step)), F.col("out")) < most)).select("band", "id", "m")
+        members = active.join(chosen.select("band").distinct(), "band", "left_semi")
+        links = links.unionByName(scratch.table(_verified_blocks(chosen, members, sets, percent), f"links-{step + 1}"))
+        # a bucket all of whose outside was compared is done
+        more = outside.where(F.col("out") > most).select("band").distinct()
+        if more.isEmpty():
+            roots = scratch.table(components(links, scratch, f"cc-{step + 1}"), f"roots-{step + 1}")
             break
-        step, most = step + 1, most * SMALL
-        a, b = chosen.select("band", F.col("id").alias("a"), F.col("n").alias("na")), large.select("band", F.col("id").alias("b"), F.col("n").alias("nb"))
-        new = a.join(b, "band").where(f"a <> b AND {sized}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = scratch.table(new.join(done, ["a", "b"], "left_anti"), f"pairs-{step}")
-        done = done.unionByName(new)
-        leaders = leaders.unionByName(chosen.select("band", "id"))
-        links = links.unionByName(scratch.table(_verified(new, sets, percent), f"links-{step}"))
-        roots = scratch.table(components(links, scratch, f"cc-{step}"), f"roots-{step}")
+        roots = scratch.table(components(links, scratch, f"cc-{step + 1}"), f"roots-{step + 1}")
+        active = scratch.table(active.join(more, "band", "left_semi"), f"active-{step + 1}")
+        step, most = step + 1, most * LEADERS
 
     per_class = classes.select("d1", "d2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("root"))
     member = sig.select("doc_id", "n", "d1", "d2").join(per_class, ["d1", "d2"], "left")
