@@ -41,18 +41,16 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each string of ``length`` bytes, from strings of half the length."""
-    if len(raw) < length:
-        return np.zeros(0, np.uint64)
-    h, have = W.mix(raw.astype(np.uint64) + np.uint64(1)), 1
-    power = np.uint64(0x9E3779B97F4A7C15)
+def string_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` byte values, from strings of half the length."""
+    have, power = 1, 0x9E3779B97F4A7C15
     while have < length:
         step = min(have, length - have)
         # strings of have + step bytes: one at the start and one that ends with them
-        h = W.mix(h[: len(h) - step] * power + h[step:])
+        h = h[: len(h) - step] * np.uint64(power) + h[step:]
+        power = (power * power + 2 * step) % (1 << 64)
         have += step
-    return h
+    return W.mix(h)
 
 
 def segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,12 +59,13 @@ def segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     if len(raw) < length:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z, z.astype(np.uint64)
-    keys = string_hashes(raw, half)
+    values = W.BYTE[raw]
+    keys = string_hashes(values, half)
     place = W.sliding_min(keys, length - half + 1)
     start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     end = np.r_[start[1:], len(place)] - 1
     at = place[start]
-    content = W.ranges(W.prefix(raw.astype(np.uint64) + np.uint64(1)), start, end + length, seed=length)
+    content = W.ranges(W.prefix(values), start, end + length, seed=length)
     return keys[at], at, start, end, W.mix(content + (at - start).astype(np.uint64))
 
 
