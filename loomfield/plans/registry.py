@@ -253,7 +253,7 @@ def jacobi3(spark, d):
 
 @query
 def running_moments(spark, d):
-    per_frame = field.moments(S.returns_plain(spark, d).where("frame < 20"), LEVELS, ["frame"])
+    per_frame = field.moments(S.returns_plain(spark, d), LEVELS, ["frame"])
     m = field.running(per_frame, "frame", ["level", "k"])
     return m.select("level", "k", "frame", "n", *[F.round(F.col(c) + 3e-9, 4).alias(c) for c in ("sx", "sy", "sz", "mxx", "mxy", "mzz")])  # off exact ties
 
@@ -261,7 +261,7 @@ def running_moments(spark, d):
 @query
 def local_frame(spark, d):
     """Finest level with enough returns, from moments up to and including the return's frame."""
-    rows = S.returns(spark, d).where("frame < 20")
+    rows = S.returns(spark, d)
     m = field.running(field.moments(rows, LEVELS, ["frame"]), "frame", ["level", "k"]).where("n >= 5").select("level", "k", "frame", "n")
     levels = F.array(*[F.struct(F.lit(i).alias("level"), K.pack(*[K.cell(F.col(a), s) for a in "xyz"]).alias("k")) for i, s in enumerate(LEVELS)])
     asked = rows.select("frame", "pt", F.explode(levels).alias("l")).select("frame", "pt", "l.*")
@@ -276,7 +276,7 @@ def rays(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ray_samples(spark, d):
-    return rounded(votes.along_ray(rays(spark, d).where("id < 50000000"), 0.4))
+    return rounded(votes.along_ray(rays(spark, d), 0.4))
 
 
 @query
@@ -291,7 +291,7 @@ def lateral_counts(spark, d):
 def lateral_disc(spark, d):
     """Antipodal pairs of a golden-angle spiral across each ray."""
     u, v = G.ray_basis(G.vec("dx", "dy", "dz"))
-    rows = rays(spark, d).where("id < 20000000").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rows = rays(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
     r, t = F.sqrt((F.col("i") + 0.5) / 3.0) * F.col("trunc"), F.col("i") * 2.399963229728653
     step = [F.cos(t) * r * a + F.sin(t) * r * b for a, b in zip(u, v)]
     pairs = rows.select("id", "i", *[F.col(a).alias(a) for a in "xyz"], *[s.alias(f"s{a}") for a, s in zip("xyz", step)], F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
@@ -310,9 +310,9 @@ def knn(spark, d):
 
 @query
 def pass_votes(spark, d):
-    n = nodes(spark, d).where("k % 5 = 0")
-    some = S.returns(spark, d).where("frame % 10 <> 5 AND pt < 6")
-    r = some.select(F.col("frame").alias("scan"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), *[F.col(a).alias(f"e{a}") for a in "xyz"])
+    """Each scan gives at most 100 evenly spaced rays, which is the operator's input budget."""
+    n = nodes(spark, d)
+    r = scans.even_subsample(S.returns(spark, d).where("frame % 10 <> 5"), 100).select(F.col("frame").alias("scan"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), *[F.col(a).alias(f"e{a}") for a in "xyz"])
     return votes.pass_votes(n.select("k"), r, 1.0, 2.5, 1.5, normals=False)
 
 
@@ -478,7 +478,7 @@ def counter_diff(spark, d):
 @query
 def smoothed(spark, d):
     """Exponential smoothing with clipped change along each track, as a fold over its ordered samples."""
-    t = S.trajectory(spark, d).where("user_id < 40").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t_ns", "px"))).alias("a"))
+    t = S.trajectory(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t_ns", "px"))).alias("a"))
     step = lambda s, x: s + F.greatest(F.least(0.3 * (x["px"] - s), F.lit(20.0)), F.lit(-20.0))
     return rounded(t.select("user_id", F.aggregate("a", F.element_at("a", 1)["px"], step).alias("last")))
 
