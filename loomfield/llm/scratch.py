@@ -8,6 +8,7 @@ names no such folder (tests on one machine) one is made and set once.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def narrow(self, df: DataFrame, name: str) -> DataFrame:
+        """``table`` for a job with wide shuffles: their files are let go before the next job.
+
+        Spark deletes a shuffle's files once the driver has collected the objects of the plan that
+        made them, which may be long after the last read; asking for a collection makes it prompt.
+        """
+        out = self.table(df, name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return out
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them; a stopped session leaves nothing to delete with."""
         context = self.spark.sparkContext

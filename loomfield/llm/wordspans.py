@@ -12,8 +12,9 @@ Segments are compared as a whole first: equal segments need only their smallest
 folds thousands of copies into one row. Only where different segments share a representative are
 their windows compared one by one, and only once per distinct segment.
 
-Counts and smallest ids are partial aggregates; nothing about one window is gathered. The documents
-are shuffled by doc_id once and that exchange is reused by every level.
+Counts and smallest ids are partial aggregates; nothing about one window is gathered. What a level
+leaves of each document is a narrow table in the shared folder; texts are shuffled by doc_id to meet
+it, once for each level after the first.
 
 Definitions: a null or empty text has no words and loses none; a text shorter than a window loses
 none; windows shared within one document alone are kept; rows with the same doc_id are one document
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import Scratch
 
 
 def levels(length: int, first: int = 3) -> list[int]:
@@ -106,8 +108,9 @@ def _each(docs: DataFrame, schema: str, length: int, make: Callable[[Words, pa.R
     return docs.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and text of every row with the hashes to remove: ``whole`` segments and single ``windows``."""
+    scratch = scratch or Scratch(docs.sparkSession, "wordspans")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     last = levels(length, first)[-1]
     alive, below = texts, None
@@ -123,8 +126,10 @@ def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3) -> DataFra
             return _once(text, keys[place])
 
         found = _each(alive, "doc_id long, key long", length, candidates)
+        if below is not None:  # it comes after a shuffle of texts, which its two readers shall not repeat
+            found = scratch.narrow(found, f"found-{level}")
         shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-        kept = found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("alive"))
+        kept = scratch.narrow(found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("alive")), f"level-{level}")
         alive, below = texts.join(kept, "doc_id"), level
 
     def whole(w: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -132,12 +137,13 @@ def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3) -> DataFra
         on = np.isin(W.tagged(key, w.text[start]), _lists(part.column("alive")))
         return _once(w.text[start[on]], key[on], words[on])
 
-    rows = _each(alive, "doc_id long, key long, words long", length, whole)
+    rows = scratch.narrow(_each(alive, "doc_id long, key long, words long", length, whole), "rows")
     distinct = rows.groupBy("key", "words").agg(F.min("doc_id").alias("owner"))
     several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.lit(True).alias("several"))
     judged = rows.join(distinct.join(several, "key", "left"), ["key", "words"])
     judged = judged.where("owner < doc_id OR several").withColumn("gone", F.col("owner") < F.col("doc_id"))
     per_doc = judged.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone"), F.col("words"))).alias("whole"), F.collect_list(F.when(~F.col("gone"), F.col("words"))).alias("open"))
+    per_doc = scratch.narrow(per_doc, "segments")
 
     def single(w: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         _, start, end, words = w.segments(last)
@@ -146,7 +152,7 @@ def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3) -> DataFra
         return _once(w.text[place], W.windows(w.h, length, 1)[place], W.windows(w.h, length, 2)[place])
 
     open_ = texts.join(per_doc.where(F.size("open") > 0).select("doc_id", "open"), "doc_id")
-    windows = _each(open_, "doc_id long, one long, two long", length, single)
+    windows = scratch.narrow(_each(open_, "doc_id long, one long, two long", length, single), "windows")
     owner = windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").select("one", "two", "owner")
     gone = windows.join(owner, ["one", "two"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list("one").alias("windows"))
     nothing = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("whole"), F.array().cast("array<long>").alias("windows"))
