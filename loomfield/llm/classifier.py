@@ -18,7 +18,6 @@ a repeated doc_id is judged row by row; extra columns pass through.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -29,35 +28,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_TERMS = re.compile(r"[^\W\d_]+")
-_SYMBOLS = re.compile(r"[#*$%&<>]")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_DIGITS = re.compile(r"[0-9]")
+_EDGES = b".,;:!?\"'()[]{}#*$%&<>|/\\-_=+"
+_KINDS = {"symbols": b"#*$%&<>", "bars": b"|", "shouts": b"!", "digits": b"0123456789", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_KIND_OF = np.zeros((256, len(_KINDS)))
+for _i, _chars in enumerate(_KINDS.values()):
+    _KIND_OF[list(_chars), _i] = 1
 
 
 def measure(text: str) -> list[float]:
     """Shares between 0 and 1 that tell prose from junk."""
-    words = _WORDS.findall(text)
-    n = max(1, len(words))
-    lines = [x for x in text.split("\n") if x.strip()]
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    n, size = max(1, len(words)), max(1, len(text))
+    symbols, bars, shouts, digits, upper = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _KIND_OF
+    lines = [x for x in raw.split(b"\n") if x.strip()]
     triples = len(words) - 2
-    share = lambda x: min(1.0, x)
     return [
-        share(len(_SYMBOLS.findall(text)) / n),
-        share(text.count("|") / n),
-        share(text.count("!") / n),
-        share(len(_UPPER.findall(text)) / max(1, len(text)) * 2),
+        min(1.0, symbols / n),
+        min(1.0, bars / n),
+        min(1.0, shouts / n),
+        min(1.0, 2 * upper / size),
         1 - len(set(zip(words, words[1:], words[2:]))) / triples if triples > 0 else 0.0,
         1 - len(set(lines)) / max(1, len(lines)),
         1 - len(set(words)) / n,
-        share(len(_DIGITS.findall(text)) / max(1, len(text)) * 4),
-        share(len(text) / n / 20),
+        min(1.0, 4 * digits / size),
+        min(1.0, size / n / 20),
     ]
 
 
-def terms(text: str) -> set[str]:
-    return set(_TERMS.findall(text.lower()))
+def terms(text: str) -> set[bytes]:
+    """Distinct words without case (of A-Z) and punctuation at their ends."""
+    return {w.strip(_EDGES) for w in set(text.encode("utf-8", "surrogatepass").lower().split())} - {b""}
 
 
 @dataclass
@@ -67,7 +68,7 @@ class Model:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(9))
     scale: np.ndarray = field(default_factory=lambda: np.ones(9))
     low: np.ndarray = field(default_factory=lambda: np.zeros(10))
-    words: dict[str, float] = field(default_factory=dict)
+    words: dict[bytes, float] = field(default_factory=dict)
     bias: float = 0.0
     slope: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
@@ -97,7 +98,7 @@ def _fit_dense(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def _fit_words(docs: list[set[str]], y: np.ndarray, vocabulary: int, strength: float = 8.0, least_groups: int = 4, least: float = 1.5) -> tuple[dict[str, float], float, np.ndarray]:
+def _fit_words(docs: list[set[bytes]], y: np.ndarray, vocabulary: int, strength: float = 8.0, least_groups: int = 4, least: float = 1.5) -> tuple[dict[bytes, float], float, np.ndarray]:
     """Weights of the words that speak for toxic, with the bias and slopes that turn ``evidence`` into log odds.
 
     A word's rate among toxic documents is shrunk toward the overall rate by ``strength`` documents.
@@ -105,12 +106,12 @@ def _fit_words(docs: list[set[str]], y: np.ndarray, vocabulary: int, strength: f
     """
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     prior = float(np.log(rate / (1 - rate)))
-    groups: dict[str, set[tuple[int, bool]]] = {}
+    groups: dict[bytes, set[tuple[int, bool]]] = {}
     for d, positive in zip(docs, y):
-        first = min(map(_word_hash, d), default=0)
+        first = min(map(zlib.crc32, d), default=0)
         for w in d:
             groups.setdefault(w, set()).add((first, bool(positive)))
-    weights: dict[str, float] = {}
+    weights: dict[bytes, float] = {}
     for w, g in groups.items():
         n, k = len(g), sum(positive for _, positive in g)
         p = (k + strength * rate) / (n + strength)
@@ -121,17 +122,13 @@ def _fit_words(docs: list[set[str]], y: np.ndarray, vocabulary: int, strength: f
     return weights, float(fitted[0]), np.maximum(fitted[1:], 0.0)
 
 
-def evidence(found: set[str], weights: dict[str, float]) -> list[float]:
+def evidence(found: set[bytes], weights: dict[bytes, float]) -> list[float]:
     """The strongest word, and all words against the length of the text."""
     hits = [weights[w] for w in found if w in weights]
     return [max(hits, default=0.0), sum(hits) / (len(found) + 1) ** 0.5]
 
 
-def _word_hash(w: str) -> int:
-    return zlib.crc32(w.encode("utf-8", "surrogatepass"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, vocabulary: int = 5_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, vocabulary: int = 5_000) -> Model:
     """Fit on at most ``max_train`` labelled documents; their ids are the only thing broadcast."""
     usable = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).select("doc_id", "quality", "toxic")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_train)
@@ -142,11 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, vocabulary: i
             yield pd.DataFrame({"x": [measure(t) for t in texts], "words": [sorted(terms(t)) for t in texts], "quality": b["quality"].astype("float"), "toxic": b["toxic"].astype("float")})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
-    rows = joined.limit(2 * max_train).mapInPandas(features, "x array<double>, words array<string>, quality double, toxic double").toLocalIterator()
+    rows = joined.limit(2 * max_train).mapInPandas(features, "x array<double>, words array<binary>, quality double, toxic double").toLocalIterator()
     xs, words, low, toxic = [], [], [], []
     for r in rows:
         xs.append(r["x"])
-        words.append(set(r["words"]))
+        words.append(set(map(bytes, r["words"])))
         low.append(np.nan if r["quality"] is None else 1 - r["quality"])
         toxic.append(np.nan if r["toxic"] is None else r["toxic"])
     model = Model()
@@ -206,7 +203,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return both.select("source", "lang", *[(_logit(post[h]) - _logit(F.col(f"prior_{h}"))).alias(f"site_{h}") for h in heads])
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 6000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 3000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
     """``keep`` columns (doc_id if not given), p_low, p_toxic and kept (both below ``threshold``)."""
     model = model or fit(docs, labels, max_train)
     keep = keep or ["doc_id"]
