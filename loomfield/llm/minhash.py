@@ -40,12 +40,11 @@ SMALL = 8  # classes in a bucket of which all pairs are compared
 LEADERS = 64  # classes of a bucket that are compared with all of it in the second round
 
 
-def shingles(text: str | None, width: int, cache: W.Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    h = W.hashed(W.split(text, lower=True), cache)
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    return np.unique(W.windows(h, min(width, len(h))))
+def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    h, bounds = W.many(texts, lower=True)
+    own = [h[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return [np.unique(W.windows(x, min(width, len(x)))) if len(x) else x for x in own]
 
 
 def signature(found: np.ndarray, size: int) -> np.ndarray:
@@ -76,13 +75,11 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, set size, 128-bit digest of the set and its band keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.Hashes()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 n, d1, d2, keys = [], [], [], []
-                for t in part.column("text").to_pylist():
-                    found = shingles(t, width, cache)
+                for found in shingles(part.column("text").to_pylist(), width):
                     n.append(len(found))
                     d1.append(int(W.mix(found).sum(dtype=np.uint64).view(np.int64)))
                     d2.append(int(W.mix(found * np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).view(np.int64)))
@@ -96,11 +93,10 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     """The full sets of some documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.Hashes()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [shingles(t, width, cache).view(np.int64) for t in part.column("text").to_pylist()]
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                found = [x.view(np.int64) for x in shingles(part.column("text").to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
 
     return texts.mapInArrow(run, "id long, s array<long>")

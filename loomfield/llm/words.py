@@ -112,9 +112,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def many(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts in one array, and where each text's words begin (one more at the end)."""
+def many(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts in one array, and where each text's words begin (one more at the end).
+
+    ``lower`` folds A-Z alone.
+    """
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if lower:
+        raws = [r.lower() for r in raws]
     buffer = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     space = _SPACE[buffer]
     change = np.diff(space.view(np.int8), prepend=np.int8(1))
