@@ -32,7 +32,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ¿¡]*")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
 _SPECIAL = "<|"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
 
 
 class Encoder:
