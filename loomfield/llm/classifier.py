@@ -19,6 +19,7 @@ a repeated doc_id is judged row by row; extra columns pass through.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -106,10 +107,12 @@ def _fit_words(docs: list[set[bytes]], y: np.ndarray, vocabulary: int, strength:
     """
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     prior = float(np.log(rate / (1 - rate)))
+    # words of too few documents cannot be of enough groups; most words are, so they go first
+    common = {w for w, n in Counter(w for d in docs for w in d).items() if n >= least_groups}
     groups: dict[bytes, set[tuple[int, bool]]] = {}
     for d, positive in zip(docs, y):
         first = min(map(zlib.crc32, d), default=0)
-        for w in d:
+        for w in d & common:
             groups.setdefault(w, set()).add((first, bool(positive)))
     weights: dict[bytes, float] = {}
     for w, g in groups.items():
@@ -128,7 +131,7 @@ def evidence(found: set[bytes], weights: dict[bytes, float]) -> list[float]:
     return [max(hits, default=0.0), sum(hits) / (len(found) + 1) ** 0.5]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, vocabulary: int = 5_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 1500, vocabulary: int = 5_000) -> Model:
     """Fit on at most ``max_train`` labelled documents; their ids are the only thing broadcast."""
     usable = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).select("doc_id", "quality", "toxic")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_train)
@@ -203,7 +206,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return both.select("source", "lang", *[(_logit(post[h]) - _logit(F.col(f"prior_{h}"))).alias(f"site_{h}") for h in heads])
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 3000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 1500, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
     """``keep`` columns (doc_id if not given), p_low, p_toxic and kept (both below ``threshold``)."""
     model = model or fit(docs, labels, max_train)
     keep = keep or ["doc_id"]
