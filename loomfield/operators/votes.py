@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from loomfield.functions import keys as K
 
 
-def pass_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, normals: bool = True) -> DataFrame:
+def pass_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, normals: bool = True, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """(k, n_free): scans with a ray that passes the node and none that hits it.
 
     A ray becomes one row per voxel step and each step asks the 27 nodes around it, an equi-join on
     keys; the exact tests are residuals. (node, scan) is aggregated first with idempotent maxima, so
-    a ray that meets a node in several steps needs no distinct. ``nodes``: k and, with ``normals``,
-    nx, ny, nz; ``rays``: scan, ox..oz, ex..ez.
+    a ray that meets a node in several steps needs no distinct. Up to ``broadcast_nodes`` nodes are
+    broadcast, so that steps stay in the task of their ray; more are joined by a shuffle.
+    ``nodes``: k and, with ``normals``, nx, ny, nz; ``rays``: scan, ox..oz, ex..ez.
     """
+    nodes = nodes.persist()
+    if nodes.count() <= broadcast_nodes:
+        nodes = F.broadcast(nodes)
     d = {a: F.col(f"e{a}") - F.col(f"o{a}") for a in "xyz"}
     length = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
     r = rays.select("scan", "ox", "oy", "oz", *[(c / length).alias(f"u{a}") for a, c in d.items()], length.alias("len")).where(F.col("len") > clearance)
     steps = F.sequence(F.lit(0), F.floor((F.col("len") + clearance + voxel) / voxel).cast("int"))
     r = r.select("*", F.explode(steps).alias("i"))
     at = [F.rint((F.col(f"o{a}") + F.col(f"u{a}") * F.col("i") * voxel) / voxel).cast("bigint") for a in "xyz"]
-    # one lookup for a ray's neighbouring steps on the same voxel is enough
-    r = r.select("scan", "ox", "oy", "oz", "ux", "uy", "uz", "len", K.pack(*at).alias("v")).distinct()
+    r = r.select("scan", "ox", "oy", "oz", "ux", "uy", "uz", "len", K.pack(*at).alias("v"))
     asked = r.withColumn("step", F.explode(K.offsets(K.AROUND))).withColumn("k", F.col("v") + F.col("step")).drop("v", "step")
     met = asked.join(nodes, "k")
     p = {a: c * voxel - F.col(f"o{a}") for a, c in zip("xyz", K.unpack(F.col("k")))}

@@ -20,6 +20,8 @@ LEVELS = [2.0, 4.0, 8.0]
 #: added before rounding what is itself made of rounded values, which would often end in an exact half
 OFF_TIES = 3e-8
 HALF_DAY = 43_200_000_000_000
+#: rays of a scan that vote, as in the reference's configurations
+MAX_RAYS_PER_SCAN = 12_000
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -310,9 +312,9 @@ def knn(spark, d):
 
 @query
 def pass_votes(spark, d):
-    """Each scan gives at most 100 evenly spaced rays, which is the operator's input budget."""
+    """Each scan gives at most ``MAX_RAYS_PER_SCAN`` evenly spaced rays."""
     n = nodes(spark, d)
-    r = scans.even_subsample(S.returns(spark, d).where("frame % 10 <> 5"), 100).select(F.col("frame").alias("scan"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), *[F.col(a).alias(f"e{a}") for a in "xyz"])
+    r = scans.even_subsample(S.returns(spark, d).where("frame % 10 <> 5"), MAX_RAYS_PER_SCAN).select(F.col("frame").alias("scan"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), *[F.col(a).alias(f"e{a}") for a in "xyz"])
     return votes.pass_votes(n.select("k"), r, 1.0, 2.5, 1.5, normals=False)
 
 
