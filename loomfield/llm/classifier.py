@@ -18,7 +18,7 @@ a repeated doc_id is judged row by row; extra columns pass through.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -62,6 +62,11 @@ def terms(text: str) -> set[bytes]:
     return {w.strip(_EDGES) for w in set(text.encode("utf-8", "surrogatepass").lower().split())} - {b""}
 
 
+def digest(found: set[bytes]) -> bytes:
+    """Equal for equal sets of words."""
+    return hashlib.blake2b(b" ".join(sorted(found)), digest_size=16).digest()
+
+
 @dataclass
 class Model:
     """Two logistic models; ``words`` has a weight for each word that speaks for toxic."""
@@ -103,17 +108,17 @@ def _fit_words(docs: list[set[bytes]], y: np.ndarray, vocabulary: int, strength:
     """Weights of the words that speak for toxic, with the bias and slopes that turn ``evidence`` into log odds.
 
     A word's rate among toxic documents is shrunk toward the overall rate by ``strength`` documents.
-    Copies of one document count once: documents with the same smallest word hash are a group.
+    Copies of one document count once: documents with the same set of words are a group.
     """
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     prior = float(np.log(rate / (1 - rate)))
     # words of too few documents cannot be of enough groups; most words are, so they go first
     common = {w for w, n in Counter(w for d in docs for w in d).items() if n >= least_groups}
-    groups: dict[bytes, set[tuple[int, bool]]] = {}
+    groups: dict[bytes, set[tuple[bytes, bool]]] = {}
     for d, positive in zip(docs, y):
-        first = min(map(zlib.crc32, d), default=0)
+        group = digest(d)
         for w in d & common:
-            groups.setdefault(w, set()).add((first, bool(positive)))
+            groups.setdefault(w, set()).add((group, bool(positive)))
     weights: dict[bytes, float] = {}
     for w, g in groups.items():
         n, k = len(g), sum(positive for _, positive in g)
