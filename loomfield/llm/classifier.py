@@ -19,7 +19,6 @@ a repeated doc_id is judged row by row; extra columns pass through.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +30,7 @@ from pyspark.sql import types as T
 
 _EDGES = b".,;:!?\"'()[]{}#*$%&<>|/\\-_=+"
 _KINDS = {"symbols": b"#*$%&<>", "bars": b"|", "shouts": b"!", "digits": b"0123456789", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_KNOWN_TOXIC = "toxic IS NOT NULL AND NOT isnan(CAST(toxic AS DOUBLE))"
 _KIND_OF = np.zeros((256, len(_KINDS)))
 for _i, _chars in enumerate(_KINDS.values()):
     _KIND_OF[list(_chars), _i] = 1
@@ -104,67 +104,73 @@ def _fit_dense(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def _fit_words(docs: list[set[bytes]], y: np.ndarray, vocabulary: int, strength: float = 8.0, least_groups: int = 4, least: float = 1.5) -> tuple[dict[bytes, float], float, np.ndarray]:
-    """Weights of the words that speak for toxic, with the bias and slopes that turn ``evidence`` into log odds.
+def _fit_words(sample: DataFrame, rate: float, vocabulary: int, strength: float = 8.0, least_groups: int = 4, least: float = 1.5) -> dict[bytes, float]:
+    """Weights of the words that speak for toxic, counted in Spark; only those that pass come to the driver.
 
     A word's rate among toxic documents is shrunk toward the overall rate by ``strength`` documents.
     Copies of one document count once: documents with the same set of words are a group.
     """
-    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    prior = float(np.log(rate / (1 - rate)))
-    # words of too few documents cannot be of enough groups; most words are, so they go first
-    common = {w for w, n in Counter(w for d in docs for w in d).items() if n >= least_groups}
-    groups: dict[bytes, set[tuple[bytes, bool]]] = {}
-    for d, positive in zip(docs, y):
-        group = digest(d)
-        for w in d & common:
-            groups.setdefault(w, set()).add((group, bool(positive)))
-    weights: dict[bytes, float] = {}
-    for w, g in groups.items():
-        n, k = len(g), sum(positive for _, positive in g)
-        p = (k + strength * rate) / (n + strength)
-        if n >= least_groups and (weight := float(np.log(p / (1 - p)) - prior)) >= least:
-            weights[w] = weight
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:vocabulary])
-    fitted = _fit_dense(np.array([evidence(d, weights) for d in docs]), y, ridge=0.01) if weights else np.array([prior, 0.0, 0.0])
-    return weights, float(fitted[0]), np.maximum(fitted[1:], 0.0)
+    rate = float(np.clip(rate, 1e-3, 1 - 1e-3))
+
+    def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text, positive in zip(b["text"], b["toxic"]):
+                found = terms(text or "")
+                yield pd.DataFrame({"word": sorted(found), "grp": digest(found), "toxic": int(positive)})
+
+    pairs = sample.where(_KNOWN_TOXIC).select("text", "toxic").mapInPandas(words, "word binary, grp binary, toxic int").distinct()
+    p = (F.col("k") + strength * rate) / (F.col("n") + strength)
+    weight = F.log(p / (1 - p)) - float(np.log(rate / (1 - rate)))
+    counted = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= least_groups)
+    chosen = counted.select("word", weight.alias("weight")).where(F.col("weight") >= least).orderBy(F.desc("weight"), "word").limit(vocabulary)
+    return {bytes(r["word"]): r["weight"] for r in chosen.collect()}
 
 
 def evidence(found: set[bytes], weights: dict[bytes, float]) -> list[float]:
     """The strongest word, and all words against the length of the text."""
-    hits = [weights[w] for w in found if w in weights]
+    hits = sorted(weights[w] for w in found if w in weights)
     return [max(hits, default=0.0), sum(hits) / (len(found) + 1) ** 0.5]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 1500, vocabulary: int = 5_000) -> Model:
-    """Fit on at most ``max_train`` labelled documents; their ids are the only thing broadcast."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, vocabulary: int = 5_000) -> Model:
+    """Fit on at most ``max_train`` labelled documents; their ids are the only thing broadcast.
+
+    The driver gets a few numbers of each document and the chosen words, never a document's words.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).select("doc_id", "quality", "toxic")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_train)
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
+    sample = joined.limit(2 * max_train).persist()
 
     def features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t or "" for t in b["text"]]
-            yield pd.DataFrame({"x": [measure(t) for t in texts], "words": [sorted(terms(t)) for t in texts], "quality": b["quality"].astype("float"), "toxic": b["toxic"].astype("float")})
+            yield pd.DataFrame({"x": [measure(t or "") for t in b["text"]], "quality": b["quality"].astype("float"), "toxic": b["toxic"].astype("float")})
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
-    rows = joined.limit(2 * max_train).mapInPandas(features, "x array<double>, words array<binary>, quality double, toxic double").toLocalIterator()
-    xs, words, low, toxic = [], [], [], []
-    for r in rows:
-        xs.append(r["x"])
-        words.append(set(map(bytes, r["words"])))
-        low.append(np.nan if r["quality"] is None else 1 - r["quality"])
-        toxic.append(np.nan if r["toxic"] is None else r["toxic"])
+    # sorted: the same sums whatever order rows come in
+    rows = sorted(map(tuple, sample.mapInPandas(features, "x array<double>, quality double, toxic double").collect()), key=repr)
+    x = np.array([r[0] for r in rows])
+    low = np.array([np.nan if r[1] is None else 1 - r[1] for r in rows])
+    toxic = np.array([np.nan if r[2] is None else r[2] for r in rows])
     model = Model()
-    order = sorted(range(len(xs)), key=lambda i: (xs[i], sorted(words[i])[:5]))  # the same sums whatever order rows come in
-    x, low, toxic = np.array([xs[i] for i in order]), np.array([low[i] for i in order]), np.array([toxic[i] for i in order])
-    words = [words[i] for i in order]
-    known = np.isfinite(low) if len(low) else np.zeros(0, bool)
+    known = np.isfinite(low)
     if known.any() and len(set(low[known])) == 2:
         model.mean, model.scale = x[known].mean(0), np.maximum(x[known].std(0), 1e-3)
         model.low = _fit_dense((x[known] - model.mean) / model.scale, low[known])
-    known = np.isfinite(toxic) if len(toxic) else np.zeros(0, bool)
+    known = np.isfinite(toxic)
     if known.any() and len(set(toxic[known])) == 2:
-        model.words, model.bias, model.slope = _fit_words([w for w, k in zip(words, known) if k], toxic[known], vocabulary)
+        rate = float(np.clip(toxic[known].mean(), 1e-3, 1 - 1e-3))
+        weights = model.words = _fit_words(sample, rate, vocabulary)
+        fitted = np.array([np.log(rate / (1 - rate)), 0.0, 0.0])
+        if weights:
+
+            def found(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    yield pd.DataFrame({"e": [evidence(terms(t or ""), weights) for t in b["text"]], "toxic": b["toxic"].astype("float")})
+
+            pairs = sorted((r["e"], r["toxic"]) for r in sample.where(_KNOWN_TOXIC).mapInPandas(found, "e array<double>, toxic double").collect())
+            fitted = _fit_dense(np.array([e for e, _ in pairs]), np.array([t for _, t in pairs]), ridge=0.01)
+        model.bias, model.slope = float(fitted[0]), np.maximum(fitted[1:], 0.0)
+    sample.unpersist()
     return model
 
 
@@ -211,7 +217,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return both.select("source", "lang", *[(_logit(post[h]) - _logit(F.col(f"prior_{h}"))).alias(f"site_{h}") for h in heads])
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 1500, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 6000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
     """``keep`` columns (doc_id if not given), p_low, p_toxic and kept (both below ``threshold``)."""
     model = model or fit(docs, labels, max_train)
     keep = keep or ["doc_id"]

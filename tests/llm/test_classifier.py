@@ -23,3 +23,14 @@ def test_different_texts_that_share_a_common_word_are_all_evidence(spark):
 def test_copies_of_one_text_count_once(spark):
     texts = [("slur again and again", 1)] * 8 + [(f"plain text {i}", 0) for i in range(60)]
     assert "slur".encode() not in classifier.fit(*labelled(spark, texts)).words
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train, held = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
+    rows = classifier.classify(docs.join(held.select("doc_id"), "doc_id", "left_semi"), train, model=classifier.fit(docs, train)).join(held, "doc_id").collect()
+    toxic = [r["p_toxic"] > 0.5 for r in rows if r["toxic"] == 1]
+    assert sum(toxic) >= 0.92 * len(toxic)
+    clean = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    assert sum(clean) > 0.97 * len(clean)
