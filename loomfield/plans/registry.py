@@ -445,8 +445,12 @@ def roi_metrics(spark, d):
     """Points within a distance of any of a few sensor positions."""
     sensors = S.returns_plain(spark, d).groupBy("frame").agg(F.avg("x").alias("sx"), F.avg("y").alias("sy")).where("frame % 20 = 0")
     p = S.returns_plain(spark, d).where("frame % 10 = 5").select("frame", "x", "y", "value")
-    # at most one position per scan: a checked handful, else the bucket join of nearest_within
-    near = p.alias("p").join(F.broadcast(sensors.select("sx", "sy").limit(10_000)), (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 <= 100.0, "left_semi")
+    # each position goes to the nine cells around it, so a point asks only its own
+    cx, cy = K.cell(F.col("sx"), 10.0), K.cell(F.col("sy"), 10.0)
+    around = F.explode(F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    there = sensors.select("sx", "sy", around.alias("c")).select("sx", "sy", "c.*")
+    p = p.withColumns({"px": K.cell(F.col("x"), 10.0), "py": K.cell(F.col("y"), 10.0)})
+    near = p.join(there, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & ((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 <= 100.0), "left_semi")
     return near.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean_value"))
 
 
