@@ -16,7 +16,7 @@ are packed one by one; extra columns are ignored; an empty table gives no pieces
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import re
 import zlib
@@ -27,36 +27,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: texts of these characters alone are split into words here; others go to the tokenizer whole
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ¿¡]*")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
-_SPECIAL = "<|"
-_CACHE_WORDS = 1_000_000
+#: no run of word or of white space beyond this goes to the fast encoder, whose cost grows with its square
+_RUN = 1000
+_CHAR = "!-~¡-¿À-ÖØ-öø-ÿ"
+#: texts of Latin letters, digits and marks take the fast encoder, others the tokenizer itself
+_PLAIN = re.compile(rf"[\t\n\r ]{{0,{_RUN}}}+(?:[{_CHAR}]{{1,{_RUN}}}+(?:[\t\n\r ]{{1,{_RUN}}}+|\Z))*+")
+# How byte-level tokenizers of this kind split texts into words, and their setting in the file.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Tokens' bytes and ids of a byte-level BPE, if its merges are in the order of their ids."""
+    model = spec["model"]
+    plain = spec["normalizer"] is None and spec["pre_tokenizer"] == _BYTE_LEVEL and model["type"] == "BPE"
+    if not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    # printable bytes are written as themselves, the others as the code points from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    order = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if order != sorted(set(order)) or order[:1] == [-1]:
+        return None
+    special = {t["content"] for t in spec["added_tokens"]}
+    tokens = [t for t in vocab if t not in special]
+    if len(tokens) != 256 + len(order) or any(vocab[c] >= order[0] for c in byte if c in vocab):
+        return None
+    return {bytes(map(byte.__getitem__, t)): vocab[t] for t in tokens}
 
 
 class Encoder:
-    """Token ids of texts, with the ids of words seen before kept (byte-level BPE works word by word)."""
+    """Token ids of texts, as the tokenizer of a file gives them.
+
+    The tokenizer keeps places and strings of tokens that nobody asks for here; where its file is a
+    byte-level BPE, plain texts take an encoder that makes the same ids from the same merges.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.words = Tokenizer.from_file(path), {}
+        self.model, self.fast = Tokenizer.from_file(path), None
+        spec = json.loads(self.model.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = merge_ranks(spec)
+        if ranks is not None:
+            import tiktoken
 
-    def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            self.fast = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def is_plain(self, text: str) -> bool:
+        return self.fast is not None and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > _CACHE_WORDS:
-            self.words = {}
-        split = [_SPLIT.findall(t) if _SPECIAL not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        new = list(set(itertools.chain.from_iterable(s for s in split if s is not None)).difference(self.words))
-        self.words.update(zip(new, self._many(new)))
-        look = self.words.__getitem__
-        whole = iter(self._many([t for t, s in zip(texts, split) if s is None]))
-        return [next(whole) if s is None else b"".join(map(look, s)) for s in split]
+        plain = list(map(self.is_plain, texts))
+        rest = self.model.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        other = iter(rest)
+        ids = [self.fast.encode_ordinary(t) if p else next(other).ids for t, p in zip(texts, plain)]
+        return [np.array(i, dtype="<u4").tobytes() for i in ids]
 
 
 class Room:
@@ -191,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 32
-        encoder = _encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path)
         group: list[tuple[int | None, bytes]] = []
         held = 0
         for b in batches:
@@ -213,13 +243,3 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
 def _batch(out: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
