@@ -11,9 +11,11 @@ The sums are grouped aggregates with partial sums in each task, so a hot source
 extra. Site posteriors are broadcast only if there are at most ``broadcast_sites`` of them;
 otherwise they are joined by a shuffle.
 
-Definitions: a null or empty text scores as no evidence (0) and is judged by its site; null hosts
-and paths are groups of their own; without usable labels all evidence is 0 and nothing is rejected;
-a repeated doc_id is judged row by row; extra columns pass through.
+Definitions: a null or empty text scores as no evidence (0) and is judged by its site; very long
+texts are scored whole; null hosts and paths are groups of their own; without usable labels all
+evidence is 0 and nothing is rejected; a score at the threshold is kept; a repeated doc_id is judged
+row by row; columns named in ``keep`` pass through whatever their names, others are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
+
+HEADS = ("low", "toxic")
+
 _EDGES = b".,;:!?\"'()[]{}#*$%&<>|/\\-_=+"
 _KINDS = {"symbols": b"#*$%&<>", "bars": b"|", "shouts": b"!", "digits": b"0123456789", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-_KNOWN_TOXIC = "toxic IS NOT NULL AND NOT isnan(CAST(toxic AS DOUBLE))"
 _KIND_OF = np.zeros((256, len(_KINDS)))
 for _i, _chars in enumerate(_KINDS.values()):
     _KIND_OF[list(_chars), _i] = 1
@@ -118,7 +123,7 @@ def _fit_words(sample: DataFrame, rate: float, vocabulary: int, strength: float
                 found = terms(text or "")
                 yield pd.DataFrame({"word": sorted(found), "grp": digest(found), "toxic": int(positive)})
 
-    pairs = sample.where(_KNOWN_TOXIC).select("text", "toxic").mapInPandas(words, "word binary, grp binary, toxic int").distinct()
+    pairs = sample.where("toxic IS NOT NULL").select("text", "toxic").mapInPandas(words, "word binary, grp binary, toxic int").distinct()
     p = (F.col("k") + strength * rate) / (F.col("n") + strength)
     weight = F.log(p / (1 - p)) - float(np.log(rate / (1 - rate)))
     counted = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= least_groups)
@@ -132,15 +137,26 @@ def evidence(found: set[bytes], weights: dict[bytes, float]) -> list[float]:
     return [max(hits, default=0.0), sum(hits) / (len(found) + 1) ** 0.5]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, vocabulary: int = 5_000) -> Model:
-    """Fit on at most ``max_train`` labelled documents; their ids are the only thing broadcast.
+def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
+    """text, quality and toxic of at most ``max_train`` labelled documents, drawn by hash; their ids are broadcast.
+
+    A doc_id labelled more than once counts with its worst labels, one with several texts with one of them.
+    """
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    usable = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(known("quality")).alias("quality"), F.max(known("toxic")).alias("toxic"))
+    chosen = usable.where("quality IS NOT NULL OR toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return joined.groupBy("doc_id", "quality", "toxic").agg(one).select("text", "quality", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, vocabulary: int = 5_000, scratch: Scratch | None = None) -> Model:
+    """Fit on at most ``max_train`` labelled documents.
 
     The driver gets a few numbers of each document and the chosen words, never a document's words.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).select("doc_id", "quality", "toxic")
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_train)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
-    sample = joined.limit(2 * max_train).persist()
+    scratch = scratch or Scratch(docs.sparkSession, "classifier-fit")
+    sample = scratch.table(_sample(docs, labels, max_train), "sample")
 
     def features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -167,17 +183,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, vocabulary: i
                 for b in batches:
                     yield pd.DataFrame({"e": [evidence(terms(t or ""), weights) for t in b["text"]], "toxic": b["toxic"].astype("float")})
 
-            pairs = sorted((r["e"], r["toxic"]) for r in sample.where(_KNOWN_TOXIC).mapInPandas(found, "e array<double>, toxic double").collect())
+            pairs = sorted((r["e"], r["toxic"]) for r in sample.where("toxic IS NOT NULL").mapInPandas(found, "e array<double>, toxic double").collect())
             fitted = _fit_dense(np.array([e for e, _ in pairs]), np.array([t for _, t in pairs]), ridge=0.01)
         model.bias, model.slope = float(fitted[0]), np.maximum(fitted[1:], 0.0)
-    sample.unpersist()
+    scratch.drop("sample")
     return model
 
 
 def _score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the two log odds."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_low", T.DoubleType()), T.StructField("_toxic", T.DoubleType())])
-    ask = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    """The caller's columns in one struct, so that no name can clash, with source, lang and the two log odds."""
+    ask = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    passing = ["row", "source", "lang"]
+    schema = T.StructType([ask.schema[c] for c in passing] + [T.StructField(h, T.DoubleType()) for h in HEADS])
 
     def run(batches):
         import pyarrow as pa
@@ -186,7 +203,7 @@ def _score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 scores = [model.score(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array([s[k] for s in scores], pa.float64()) for k in (0, 1)], names=[*keep, "_low", "_toxic"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in passing] + [pa.array([s[k] for s in scores], pa.float64()) for k in range(len(HEADS))], names=[*passing, *HEADS])
 
     return ask.mapInArrow(run, schema)
 
@@ -199,34 +216,59 @@ def _logit(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
+def _bounded(c: Column, low: float, high: float) -> Column:
+    return F.greatest(F.least(c, F.lit(high)), F.lit(low))
+
+
+def _strength(rate: Column, variance: Column) -> Column:
+    """Prior strength by moments: the more groups agree, the more a sparse one is shrunk."""
+    return _bounded(rate * (1 - rate) / F.greatest(F.coalesce(variance, F.lit(0.0)), F.lit(1e-9)) - 1, 2.0, 1000.0)
+
+
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """Per (source, lang): log odds of low and toxic beyond the global ones, after shrinkage."""
-    heads = ("low", "toxic")
-    paths = scored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(_logistic(F.col(f"_{h}"))).alias(h) for h in heads])
-    hosts = paths.groupBy("source").agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in heads])
-    spread = [f(F.col(h) / F.col("n")).alias(f"{h}_{k}") for h in heads for k, f in (("var", F.var_samp),)]
-    whole = hosts.agg(F.sum("n").alias("all_n"), *[F.sum(h).alias(f"all_{h}") for h in heads], *spread)
-    host = hosts.crossJoin(whole)  # the whole is one row
-    prior = {h: F.greatest(F.least((F.col(f"all_{h}") + 1) / (F.col("all_n") + 2), F.lit(0.999)), F.lit(0.001)) for h in heads}
-    # strength of the prior by moments: the more hosts agree, the more a sparse one is shrunk
-    strength = {h: F.greatest(F.least(prior[h] * (1 - prior[h]) / F.greatest(F.coalesce(F.col(f"{h}_var"), F.lit(0.0)), F.lit(1e-9)) - 1, F.lit(1000.0)), F.lit(2.0)) for h in heads}
-    host = host.select("source", *[prior[h].alias(f"prior_{h}") for h in heads], *[strength[h].alias(f"strength_{h}") for h in heads], *[((F.col(h) + strength[h] * prior[h]) / (F.col("n") + strength[h])).alias(f"host_{h}") for h in heads])
-    p, q = paths.alias("p"), host.alias("q")
+    """Per (source, lang): log odds of low and toxic beyond the global ones, after shrinkage.
+
+    Hosts are shrunk toward the whole by how much hosts differ, paths toward their host by how much
+    the paths of one host differ.
+    """
+    paths = scored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(_logistic(F.col(h))).alias(h) for h in HEADS])
+    hosts = paths.groupBy("source").agg(F.sum("n").alias("host_n"), *[F.sum(h).alias(f"host_{h}") for h in HEADS])
+    p, q = paths.alias("p"), hosts.alias("q")
     both = p.join(q, F.col("p.source").eqNullSafe(F.col("q.source"))).drop(F.col("q.source"))
-    post = {h: (F.col(h) + F.col(f"strength_{h}") * F.col(f"host_{h}")) / (F.col("n") + F.col(f"strength_{h}")) for h in heads}
-    return both.select("source", "lang", *[(_logit(post[h]) - _logit(F.col(f"prior_{h}"))).alias(f"site_{h}") for h in heads])
+    off = lambda h: F.col(h) / F.col("n") - F.col(f"host_{h}") / F.col("host_n")
+    across = hosts.agg(F.sum("host_n").alias("all_n"), *[F.sum(f"host_{h}").alias(f"all_{h}") for h in HEADS], *[F.var_samp(F.col(f"host_{h}") / F.col("host_n")).alias(f"across_{h}") for h in HEADS])
+    inside = both.agg(*[(F.sum(F.col("n") * off(h) * off(h)) / F.sum("n")).alias(f"inside_{h}") for h in HEADS])
+    rows = both.crossJoin(across).crossJoin(inside)  # one row each
+    out = []
+    for h in HEADS:
+        prior = _bounded((F.col(f"all_{h}") + 1) / (F.col("all_n") + 2), 0.001, 0.999)
+        strength = _strength(prior, F.col(f"across_{h}"))
+        host = (F.col(f"host_{h}") + strength * prior) / (F.col("host_n") + strength)
+        strength = _strength(host, F.col(f"inside_{h}"))
+        path = (F.col(h) + strength * host) / (F.col("n") + strength)
+        out.append((_logit(path) - _logit(prior)).alias(f"site_{h}"))
+    return rows.select("source", "lang", *out)
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 6000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
+    """``judged`` with the caller's columns side by side with p_low, p_toxic and kept."""
+    keep = keep or ["doc_id"]
+    return judged(docs, labels, keep, model, max_train, threshold, site_limit, broadcast_sites, scratch).select("row.*", "p_low", "p_toxic", "kept")
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: Model | None = None, max_train: int = 6000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000) -> DataFrame:
-    """``keep`` columns (doc_id if not given), p_low, p_toxic and kept (both below ``threshold``)."""
-    model = model or fit(docs, labels, max_train)
-    keep = keep or ["doc_id"]
-    passing = list(dict.fromkeys([*keep, "source", "lang"]))
-    sites = site_posteriors(_score(docs, model, ["source", "lang"])).persist()
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], model: Model | None = None, max_train: int = 6000, threshold: float = 0.5, site_limit: float = 1.0, broadcast_sites: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
+    """``row`` (a struct of the ``keep`` columns), p_low, p_toxic and kept (both at most ``threshold``).
+
+    Every text is scored once; scores wait in the shared folder for the sites that are summed from them.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "classifier")
+    model = model or fit(docs, labels, max_train, scratch=scratch)
+    scored = scratch.table(_score(docs, model, keep), "scored")
+    sites = scratch.table(site_posteriors(scored), "sites")
     if sites.count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    r, s = _score(docs, model, passing).alias("r"), sites.alias("s")
+    r, s = scored.alias("r"), sites.alias("s")
     joined = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & F.col("r.lang").eqNullSafe(F.col("s.lang")), "left")
-    limited = lambda h: F.least(F.greatest(F.coalesce(F.col(f"site_{h}"), F.lit(0.0)), F.lit(-site_limit)), F.lit(site_limit))
-    out = joined.select(*[F.col(f"r.{c}") for c in keep], _logistic(F.col("_low") + limited("low")).alias("p_low"), _logistic(F.col("_toxic") + limited("toxic")).alias("p_toxic"))
+    beyond = lambda h: _bounded(F.coalesce(F.col(f"site_{h}"), F.lit(0.0)), -site_limit, site_limit)
+    out = joined.select("row", *[_logistic(F.col(h) + beyond(h)).alias(f"p_{h}") for h in HEADS])
     return out.withColumn("kept", (F.col("p_low") <= threshold) & (F.col("p_toxic") <= threshold))
