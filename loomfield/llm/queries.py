@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,17 @@ from pyspark.sql import functions as F
 from . import bytespans, classifier, licenses, minhash, mixing, packing, pii, rules, topk, wordspans
 from .scratch import read
 
+#: setting of the session with the secret key of pseudonyms
+PII_KEY = "spark.loomfield.pii.key"
 
-#: key of the registered query; a production run names its own
-PII_KEY = "corpus"
+
+def pii_key(spark: SparkSession) -> str:
+    """The session's key. Without one a random key is made and kept in the session, so what runs in one session is linked."""
+    key = spark.conf.get(PII_KEY, None) or spark.sparkContext.getConf().get(PII_KEY)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(PII_KEY, key)
+    return key
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -53,7 +62,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymize(read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
