@@ -6,19 +6,22 @@ The index keys every vector by its nearest pivot and its distance to it and stor
 its largest norm. With d(q, v) >= |d(q, p) - d(v, p)|, an annulus cannot hold a score above
 (|q|^2 + max|v|^2 - gap^2) / 2, where gap is the distance from d(q, p) to the annulus' range.
 
-A query first searches the annuli with the best bounds (``first`` of them, expanding outward);
-its k-th score so far then rules out every annulus whose bound is lower, and the rest are searched.
-Queries meet annuli in blocks: one matrix product per pair of an annulus and the queries that still
-need it. Every bound is checked against all annuli, so the result is exact whatever the pivots.
+A query expands its annuli in the order of their bounds: ``first`` of them, then eight times as
+many, then the rest; its k-th score so far rules out every annulus whose bound is lower, and most
+queries stop before the last round. Bounds are checked against all annuli, so the result is exact
+whatever the pivots.
 
-A very common vector fills whole annuli and is spread over them by row, not by value. The annulus
-directory (one small row per ``block`` vectors) is joined to blocks of queries; a query keeps k rows
-per annulus at most.
+Everything meets in blocks of bounded size. Queries are dealt to groups of about ``group`` by hash
+and the annulus directory (one small row per ``block`` vectors) to parts of as many rows as a task
+holds easily; each group meets each part once per round. An annulus is searched once by each group that
+needs it, with one matrix product per 512 queries. A very common vector fills whole annuli and is
+spread over them by row, not by value; a query keeps k rows per annulus at most.
 
 Definitions: vectors that are null, empty, hold a null or non-finite component, differ in length
 from the first pivot, or have a null id take no part; ties go to the smaller id; rows with the same
-id are candidates one by one, and a query never meets a row of its own id; an empty table gives no
-rows.
+id are candidates one by one but one query (the least of their vectors), and a query never meets a
+row of its own id; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 _HITS = "query_id long, vec_id long, score long"
+_PART = 16_384  # rows of the directory that a task holds
 
 
 def _matrix(blobs: Iterable[bytes]) -> np.ndarray:
@@ -75,9 +79,8 @@ def _nearest(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.mapInPandas(run, "vec_id long, v binary, pivot int, r double")
 
 
-def _annuli(keyed: DataFrame, block: int) -> DataFrame:
+def _annuli(keyed: DataFrame, block: int, parts: int) -> DataFrame:
     """Runs of ``block`` vectors in (pivot, distance) order; the id breaks ties, so equal vectors spread."""
-    parts = max(1, keyed.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -108,46 +111,59 @@ def _annuli(keyed: DataFrame, block: int) -> DataFrame:
     return ordered.mapInPandas(run, "annulus long, pivot int, lo double, hi double, norm double, n long, ids binary, m binary")
 
 
-def _bounds(queries: DataFrame, directory: DataFrame, pivots: np.ndarray, first: int | None, rows: int = 256) -> DataFrame:
-    """(annulus, query) pairs: the ``first`` best bounds of each query, or all that its floor allows."""
-    cols = "query_id long, q binary, annulus long"
+def _bounds(queries: DataFrame, directory: DataFrame, pivots: np.ndarray, groups: int, parts: int, most: int | None) -> DataFrame:
+    """(g, query_id, annulus) whose bound reaches the query's floor: all of them, or its ``most`` best ones.
+
+    ``queries``: g, vec_id, v, floor. A group of queries meets a part of the directory in one task,
+    some hundred queries and some thousand annuli at a time.
+    """
+    own = (pivots**2).sum(1)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "q": [], "annulus": []})
-        q = _matrix(left["v"])
-        qn = (q**2).sum(1)
-        dist = np.sqrt(np.maximum(qn[:, None] - 2 * q @ pivots.T + (pivots**2).sum(1), 0))[:, right["pivot"].to_numpy()]
-        # distances carry rounding: widen by a relative 1e-9
-        gap = np.maximum(np.maximum(right["lo"].to_numpy() - dist, dist - right["hi"].to_numpy()) - 1e-9 * (1 + dist), 0)
-        bound = (qn[:, None] + right["norm"].to_numpy() - gap**2) / 2
-        if first is not None:
-            keep = np.zeros(bound.shape, bool)
-            np.put_along_axis(keep, np.argsort(-bound, axis=1, kind="stable")[:, :first], True, axis=1)
-        else:
-            keep = bound >= left["floor"].to_numpy()[:, None] - 1e-6
-        i, j = np.nonzero(keep)
-        return pd.DataFrame({"query_id": left["vec_id"].to_numpy()[i], "q": left["v"].to_numpy()[i], "annulus": right["annulus"].to_numpy()[j]})
-
-    # a block of queries is matched with the whole directory: every block gets its copy
-    blocks = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    copies = directory.select(F.explode(F.array(*[F.lit(i).cast("long") for i in range(16)])).alias("b"), "annulus", "pivot", "lo", "hi", "norm")
-    return blocks.groupBy("b").cogroup(copies.groupBy("b")).applyInPandas(run, cols)
-
-
-def _search(pairs: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """At most k hits of each (query, annulus) pair."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(left) if len(right) else 0, 256):
+            some = left.iloc[at : at + 256]
+            q, floor, ids = _matrix(some["v"]), some["floor"].to_numpy(), some["vec_id"].to_numpy()
+            qn = (q**2).sum(1)
+            near = np.sqrt(np.maximum(qn[:, None] - 2 * q @ pivots.T + own, 0))
+            for begin in range(0, len(right), 4096):
+                ring = right.iloc[begin : begin + 4096]
+                dist = near[:, ring["pivot"].to_numpy()]
+                # distances carry rounding: widen by a relative 1e-9
+                gap = np.maximum(np.maximum(ring["lo"].to_numpy() - dist, dist - ring["hi"].to_numpy()) - 1e-9 * (1 + dist), 0)
+                bound = (qn[:, None] + ring["norm"].to_numpy() - gap**2) / 2
+                keep = bound >= floor[:, None] - 1e-6
+                if most is not None and most < len(ring):
+                    best = np.argpartition(-bound, most - 1, axis=1)[:, :most]
+                    chosen = np.zeros(bound.shape, bool)
+                    np.put_along_axis(chosen, best, True, axis=1)
+                    keep &= chosen
+                i, j = np.nonzero(keep)
+                found.append((ids[i], ring["annulus"].to_numpy()[j], bound[i, j]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame({"g": left["g"].iloc[0] if len(left) else 0, "query_id": columns[0], "annulus": columns[1], "bound": columns[2]})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("part", every(parts))
+    copies = directory.withColumn("share", F.pmod(F.xxhash64("annulus"), F.lit(parts)).cast("int")).withColumn("cell", every(groups))
+    pairs = asked.groupBy("g", "part").cogroup(copies.groupBy("cell", "share")).applyInPandas(run, "g int, query_id long, annulus long, bound double")
+    if most is not None:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "annulus"))
+        pairs = pairs.withColumn("place", rank).where(F.col("place") <= most)
+    return pairs.select("g", "query_id", "annulus")
+
+
+def _search(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """At most k hits of each (query, annulus) pair; an annulus meets one group of queries at a time."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             ids = np.frombuffer(right["ids"].iloc[0], dtype="<i8")
             m = np.frombuffer(right["m"].iloc[0], dtype="<f8").reshape(len(ids), -1)
             for at in range(0, len(left), 512):
-                part = left[at : at + 512]
-                same = [len(x) == 8 * m.shape[1] for x in part["q"]]
-                scores = _matrix(part["q"][same]) @ m.T
-                for q, s in zip(part["query_id"][same], scores):
+                part = left.iloc[at : at + 512]
+                for q, s in zip(part["query_id"], _matrix(part["v"]) @ m.T):
                     ok = np.flatnonzero(ids != q)
                     best = ok[np.lexsort((ids[ok], -s[ok]))[:k]]
                     out["query_id"].append(np.full(len(best), q))
@@ -155,7 +171,10 @@ def _search(pairs: DataFrame, index: DataFrame, k: int) -> DataFrame:
                     out["score"].append(s[best].astype("int64"))
         return pd.DataFrame({c: np.concatenate(v).astype("int64") if v else np.array([], dtype="int64") for c, v in out.items()})
 
-    return pairs.groupBy("annulus").cogroup(index.groupBy("annulus")).applyInPandas(run, _HITS)
+    asked = pairs.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    cells = pairs.select(F.col("annulus").alias("ring"), F.col("g").alias("cell")).distinct()
+    cells = cells.join(index.select(F.col("annulus").alias("ring"), "ids", "m"), "ring")
+    return asked.groupBy("annulus", "g").cogroup(cells.groupBy("ring", "cell")).applyInPandas(run, _HITS)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -163,23 +182,32 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 10, scale: int = 1024, pivots: int = 64, block: int = 2048, first: int = 3, scratch: Scratch | None = None) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int = 10, scale: int = 1024, pivots: int = 64, block: int = 2048, first: int = 3, group: int = 2048, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors; ``queries`` and ``vectors`` have vec_id and embedding."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "topk")
     points = scratch.table(quantized(vectors, scale), "points")
     chosen = [np.frombuffer(r["v"], dtype="<f8") for r in points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not chosen:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     centre = np.stack([c for c in chosen if len(c) == len(chosen[0])])
-    index = scratch.table(_annuli(_nearest(points, centre), block), "index")
-    directory = index.drop("ids", "m")
-    asked = scratch.table(quantized(queries, scale).where(F.length("v") == 8 * centre.shape[1]), "queries")
-    near = _bounds(asked, directory, centre, first)
-    seed = scratch.table(_best(_search(near, index, k), k), "seed")
-    floor = seed.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    open_ = asked.join(floor, asked["vec_id"] == floor["query_id"], "left").select("vec_id", "v", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
-    left = _bounds(open_, directory, centre, None).join(near.select("query_id", "annulus"), ["query_id", "annulus"], "left_anti")
-    hits = seed.select("query_id", "vec_id", "score").unionByName(_search(left, index, k))
+    ranges = max(spark.sparkContext.defaultParallelism, points.count() // (16 * block) + 1)
+    index = scratch.table(_annuli(_nearest(points, centre), block, ranges), "index")
+    directory = index.select("annulus", "pivot", "lo", "hi", "norm")
+    usable = quantized(queries, scale).where(F.length("v") == 8 * centre.shape[1])
+    asked = scratch.table(usable.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    groups, parts = asked.count() // group + 1, directory.count() // _PART + 1
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    hits = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    searched = spark.createDataFrame([], "query_id long, annulus long")
+    for step, most in enumerate((first, 8 * first, None)):
+        floor = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", F.col("least").cast("double").alias("floor"))
+        open_ = asked.join(floor, asked["vec_id"] == floor["query_id"], "left").select("g", "vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        found = _bounds(open_, directory, centre, groups, parts, most).join(searched, ["query_id", "annulus"], "left_anti")
+        pairs = scratch.table(found.select("g", "query_id", "annulus"), f"pairs-{step}")
+        if pairs.isEmpty():
+            break
+        best = _best(hits.unionByName(_search(pairs, asked, index, k)), k)
+        hits = scratch.table(best.select("query_id", "vec_id", "score"), f"hits-{step}")
+        searched = searched.unionByName(pairs.select("query_id", "annulus"))
     return _best(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
