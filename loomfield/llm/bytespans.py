@@ -14,16 +14,22 @@ reversed prefixes by multikey quicksort and takes the common prefixes of neighbo
 starts o bytes before the anchor repeats if another segment agrees on o bytes to the left and
 length - o to the right, which the two sorted orders tell for all segments of the bucket at once.
 
+An anchor that more than ``HEAVY`` different segments share is split before it is sorted: the
+strings that start a .. b bytes before the anchor all hold the bytes from a before it to length - b
+after it, so the range of starts is halved and segments go on with those bytes as their key, until
+few enough share one. A single start left means that the key is the whole string and a count decides.
+
 Definitions: a null text is empty; matches never cross documents but count within one; texts
-shorter than ``length`` lose nothing; every row is a document, so rows with the same doc_id and the
-same text remove each other's bytes; a null doc_id is a doc_id like any other; extra columns are
-ignored; an empty table gives no rows.
+shorter than ``length`` lose nothing, very long ones are taken whole; every row is a document, so
+rows with the same doc_id and the same text remove each other's bytes; a null doc_id is a doc_id like
+any other; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,9 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import Scratch
 
 _NO_ID = -(1 << 63)
 _SMALL = 48  # suffixes that are sorted by comparison
+HEAVY = 512  # segments with one key that are sorted together
+_BUCKET = 8_000  # segments in a range, about
 
 
 def encode(text: str | None) -> bytes:
@@ -155,6 +164,7 @@ def repeated(left: list[bytes], right: list[bytes], low: np.ndarray, high: np.nd
 def _rows(docs: DataFrame, schema: str, make) -> DataFrame:
     """``make`` turns a document's bytes and other columns into arrays, one per column after doc_id."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary()}[f.split(" ")[1]] for f in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +177,8 @@ def _rows(docs: DataFrame, schema: str, make) -> DataFrame:
                     ids += [part.column("doc_id")[i].as_py()] * len(made[0])
                 join = lambda k: np.concatenate([o[k] for o in out]) if isinstance(out[0][k], np.ndarray) else [x for o in out for x in o[k]]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x) for x in map(join, range(len(names) - 1))]], names=names)
+                    columns = [ids, *map(join, range(len(names) - 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -176,9 +187,12 @@ def _hashes(cell: pa.Scalar) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if cell.is_valid else np.zeros(0, np.uint64)
 
 
-def _sort_buckets(candidates: DataFrame, length: int) -> DataFrame:
+_SEGMENT = "doc_id long, key long, content long, lead binary, at long, low long, high long, bytes binary"
+
+
+def _sort_buckets(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
     """Segments whose strings repeat in part: owner, hash of the bytes, and the repeating offsets."""
-    buckets = candidates.repartitionByRange("lead", "key")
+    ranges = candidates.repartitionByRange(buckets, "lead", "key")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -190,13 +204,54 @@ def _sort_buckets(candidates: DataFrame, length: int) -> DataFrame:
         right = [s[a:] for s, a in zip(rows["bytes"], at)]
         offsets = repeated(left, right, rows["low"].to_numpy(), rows["high"].to_numpy(), length)
         on = [i for i, o in enumerate(offsets) if len(o)]
-        yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[on], "content": rows["content"].to_numpy()[on], "offsets": [offsets[i].astype("<i4").tobytes() for i in on]})
+        yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[on], "content": rows["content"].to_numpy()[on], "offsets": pd.Series([offsets[i].tolist() for i in on], dtype=object)})
 
-    return buckets.mapInPandas(run, "doc_id long, content long, offsets binary")
+    return ranges.mapInPandas(run, "doc_id long, content long, offsets array<int>")
 
 
-def repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
+def _narrowed(heavy: DataFrame, length: int, step: int) -> DataFrame:
+    """Segments once for each range of ``step`` starts that they have, keyed by the bytes that all strings of the range hold."""
+    names = [c.split(" ")[0] for c in _SEGMENT.split(", ")]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.itertuples(index=False):
+                for a in range(r.low // step * step, r.high + 1, step):
+                    z = a + step - 1
+                    low, high = max(r.low, a), min(r.high, z)
+                    shared = r.bytes[r.at - a : r.at + length - z]
+                    key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=b"%d" % a).digest(), "big", signed=True)
+                    out.append((r.doc_id, key, r.content, shared[:16], high, low, high, r.bytes[r.at - high : r.at - low + length]))
+            yield pd.DataFrame(out, columns=names)
+
+    return heavy.mapInPandas(run, _SEGMENT)
+
+
+def _partly_repeated(candidates: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """``_sort_buckets``, after anchors that very many segments share are split."""
+    spark = candidates.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step, found = length - length // 2 + 1, []
+    rows = scratch.table(candidates, f"segments-{step}")
+    while True:
+        counts = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"counts-{step}")
+        if step == 1:  # the key is the string: who shares it repeats
+            found.append(rows.join(counts.select("key"), "key", "left_semi").select("doc_id", "content", F.array(F.col("low").cast("int")).alias("offsets")))
+            break
+        light = rows.join(counts.where(F.col("m") <= HEAVY).select("key"), "key", "left_semi")
+        found.append(scratch.table(_sort_buckets(light, length, max(least, rows.count() // _BUCKET)), f"sorted-{step}"))
+        heavy = counts.where(F.col("m") > HEAVY).select("key")
+        if heavy.isEmpty():
+            break
+        step = (step + 1) // 2
+        rows = scratch.table(_narrowed(rows.join(heavy, "key", "left_semi"), length, step), f"segments-{step}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def repeated_strings(docs: DataFrame, length: int = 400, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and text of every row, with the segments that repeat as a whole or in part."""
+    scratch = scratch or Scratch(docs.sparkSession, "bytespans")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
 
     def fold(raw: bytes, _: dict) -> list:
@@ -204,29 +259,31 @@ def repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
         pair, n = np.unique(np.stack([key, content], 1), axis=0, return_counts=True) if len(key) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
         return [pair[:, 0].copy().view(np.int64), pair[:, 1].copy().view(np.int64), n.astype(np.int64)]
 
-    found = _rows(texts, "doc_id long, key long, content long, n long", fold)
+    found = scratch.table(_rows(texts, "doc_id long, key long, content long, n long", fold), "found")
     distinct = found.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner"))
     anchors = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    state = distinct.join(anchors, "key", "left").where("n > 1 OR parts > 1").select("key", "content", F.col("n").alias("all_n"), "owner", "parts")
+    state = scratch.table(distinct.join(anchors, "key", "left").where("n > 1 OR parts > 1").select("key", "content", F.col("n").alias("all_n"), "owner", "parts"), "state")
     judged = found.select("doc_id", "key", "content").join(state, ["key", "content"])
     judged = judged.where("all_n > 1 OR owner = doc_id").select("doc_id", "content", (F.col("all_n") > 1).alias("whole"), ((F.col("owner") == F.col("doc_id")) & F.col("parts").isNotNull()).alias("sort"))
-    per_doc = judged.groupBy("doc_id").agg(F.collect_list(F.when(F.col("whole"), F.col("content"))).alias("whole"), F.collect_list(F.when(F.col("sort"), F.col("content"))).alias("sort"))
+    lists = [F.collect_list(F.when(F.col(c), F.col("content"))).alias(c) for c in ("whole", "sort")]
+    per_doc = scratch.table(judged.groupBy("doc_id").agg(*lists), "segments")
+    scratch.drop("found")
+    scratch.drop("state")
 
     def cut(raw: bytes, more: dict) -> list:
         key, at, start, end, content = segments(np.frombuffer(raw, np.uint8), length)
         first = np.unique(content, return_index=True)[1] if len(content) else np.zeros(0, np.int64)
         on = first[np.isin(content[first], _hashes(more["sort"]))]
         data = [raw[a : b + length] for a, b in zip(start[on].tolist(), end[on].tolist())]
-        lead = [raw[a : a + 16] for a in at[on].tolist()]
+        lead = [raw[a : a + min(16, length // 2)] for a in at[on].tolist()]  # within the anchor: equal anchors keep together
         return [key[on].view(np.int64), content[on].view(np.int64), lead, at[on] - start[on], at[on] - end[on], at[on] - start[on], data]
 
     some = texts.join(per_doc.where(F.size("sort") > 0).select("doc_id", "sort"), "doc_id")
-    candidates = _rows(some, "doc_id long, key long, content long, lead binary, at long, low long, high long, bytes binary", cut)
-    part = _sort_buckets(candidates, length).groupBy("doc_id").agg(F.collect_list(F.struct("content", "offsets")).alias("part"))
+    part = _partly_repeated(_rows(some, _SEGMENT, cut), length, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("content", "offsets")).alias("part"))
     return texts.join(per_doc.select("doc_id", "whole"), "doc_id", "left").join(part, "doc_id", "left")
 
 
-def remove_strings(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_strings(docs: DataFrame, length: int = 400, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs of bytes (start, end)."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
@@ -245,10 +302,12 @@ def remove_strings(docs: DataFrame, length: int = 400) -> DataFrame:
                         on = np.isin(content, whole)
                         np.add.at(edge, start[on], 1)
                         np.add.at(edge, end[on] + length, -1)
-                        offsets = {p["content"]: np.frombuffer(p["offsets"], "<i4") for p in part}
+                        offsets: dict[int, list[int]] = {}
+                        for p in part:
+                            offsets.setdefault(p["content"], []).extend(p["offsets"])
                         signed = content.view(np.int64)
                         for k in np.flatnonzero(np.isin(signed, np.array(list(offsets), np.int64))).tolist():
-                            starts = at[k] - offsets[int(signed[k])]
+                            starts = at[k] - np.array(offsets[int(signed[k])])
                             np.add.at(edge, starts, 1)
                             np.add.at(edge, starts + length, -1)
                     gone = np.cumsum(edge[:-1]) > 0
@@ -261,4 +320,4 @@ def remove_strings(docs: DataFrame, length: int = 400) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return repeated_strings(docs, length).select("doc_id", "text", "whole", "part").mapInArrow(run, schema)
+    return repeated_strings(docs, length, scratch).select("doc_id", "text", "whole", "part").mapInArrow(run, schema)
