@@ -27,7 +27,7 @@ FROM f"""
 
 MIXING = rf"""
 WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
-                  (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+                  (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
            FROM documents),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 b AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM a),
@@ -39,7 +39,8 @@ p AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE
 r AS (SELECT doc_id, s.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio
       FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
 q AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS f,
-             CASE WHEN ratio - floor(ratio) > 0 THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) ELSE u / (1 - u) END AS odds FROM r),
+             CASE WHEN ratio - floor(ratio) > 0 THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio))) * sqrt(size + 1.0::DOUBLE))
+                  ELSE (u / (1 - u)) / sqrt(size + 1.0::DOUBLE) END AS odds FROM r),
 o AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,
              coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN before + size * 0.5 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o"""
@@ -75,4 +76,18 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op5_quality_rules": RULES, "op2_minhash": NEAR, "op6_mixing": MIXING, "op7_topk": TOPK, "op9_substrings": SPANS}
+STRINGS = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+win AS (SELECT r, i, md5_number(x[i + 1 : i + 400]) AS h FROM (SELECT r, x, unnest(generate_series(0, CAST(octet_length(x) - 400 AS BIGINT))) AS i FROM d)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+fresh AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM hit),
+runs AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM fresh) GROUP BY r, g),
+ends AS (SELECT r, a, z FROM runs UNION ALL SELECT r, octet_length(x), octet_length(x) FROM d),
+gaps AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 0) AS b FROM ends),
+kept AS (SELECT r, string_agg(hex(x[b + 1 : a]), '' ORDER BY a) AS t FROM gaps JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
+
+ORACLES: dict[str, str] = {"op1_suffixes": STRINGS, "op5_quality_rules": RULES, "op2_minhash": NEAR, "op6_mixing": MIXING, "op7_topk": TOPK, "op9_substrings": SPANS}
