@@ -2,6 +2,12 @@
 
 Each stage takes all that the one before kept; tables between stages are Parquet in the folder the
 session shares with its executors. All stages but the last return the columns of ``documents``.
+
+Definitions: a null or empty text is judged by its site, is linked with nothing, has nothing to
+replace, and is not mixed, as it has no words; very long texts are taken whole; of rows that repeat
+doc_id and text one stays; rows without doc_id are linked with nothing and stay; the null source and the
+empty one are two sources; ties are broken by hashes of ids, so reruns in a session agree; other
+columns pass through whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -12,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import classifier, minhash, mixing, packing, pii
-from loomfield.llm.queries import PII_KEY, tokenizer
+from loomfield.llm.queries import pii_key, tokenizer
 from loomfield.llm.scratch import Scratch, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (low quality or toxic) go."""
-    return classifier.classify(docs, read(spark, sf_dir, "labels"), keep=docs.columns).where("kept").select(docs.columns)
+    return classifier.judged(docs, read(spark, sf_dir, "labels"), keep=docs.columns).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is permuted within its format; nothing goes."""
-    return pii.pseudonymize(docs, PII_KEY, keep=docs.columns, spans=False)
+    return pii.pseudonymize(docs, pii_key(spark), keep=docs.columns, spans=False)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
