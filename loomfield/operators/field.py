@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import keys as K
 
+from .cut import cut
+
 
 def splat(samples: DataFrame, by: list[str], voxel: float = 1.0, least: float = 1e-5) -> DataFrame:
     """Trilinear weights of each sample at the eight lattice points around it, summed by key.
@@ -14,22 +16,51 @@ def splat(samples: DataFrame, by: list[str], voxel: float = 1.0, least: float =
     Eight rows per sample are made inside the stage that reads them and summed before the shuffle.
     """
     base = [K.cell(F.col(c), voxel) for c in "xyz"]
-    frac = [F.col(c) / voxel - b for c, b in zip("xyz", base)]
-    side = lambda f, i: f if i else 1 - f
-    corners = F.array(*[F.struct((K.pack(*base) + i * K.STEP["x"] + j * K.STEP["y"] + k).alias("k"), (F.col("weight") * side(frac[0], i) * side(frac[1], j) * side(frac[2], k)).alias("w")) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
-    at = samples.select(*by, "value", F.explode(corners).alias("c")).select(*by, "value", "c.k", "c.w").where(F.col("w") > least)
+    low = samples.select(*by, "value", "weight", K.pack(*base).alias("k0"), *[(F.col(c) / voxel - b).alias(f"f{c}") for c, b in zip("xyz", base)])
+    # a corner is a number from 0 to 7, its step and weight are arithmetic on its bits
+    bit = {"x": F.floor(F.col("c") / 4), "y": F.floor(F.col("c") / 2) % 2, "z": F.col("c") % 2}
+    side = lambda a: F.when(bit[a] == 1, F.col(f"f{a}")).otherwise(1 - F.col(f"f{a}"))
+    at = low.withColumn("c", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+    at = at.select(*by, "value", (F.col("k0") + bit["x"] * K.STEP["x"] + bit["y"] * K.STEP["y"] + bit["z"]).alias("k"), (F.col("weight") * side("x") * side("y") * side("z")).alias("w")).where(F.col("w") > least)
     return at.groupBy(*by, "k").agg(F.sum(F.col("value") * F.col("w")).alias("value_sum"), F.sum("w").alias("weight_sum"), F.max("w").alias("weight_max"))
 
 
-def bound_weights(field: DataFrame) -> DataFrame:
-    """A node's weight in one temporal block is at most its largest sample weight; the mean value stays."""
+def bound_weights(field: DataFrame, mode: str = "max") -> DataFrame:
+    """A node's weight in one temporal block is at most its largest sample weight; the mean value stays.
+
+    ``mode`` sum leaves weights as they are.
+    """
+    if mode == "sum":
+        return field
+    if mode != "max":
+        raise ValueError("weights of a block are bounded by max or not at all (sum)")
     w = F.least("weight_max", "weight_sum")
     return field.withColumns({"value_sum": F.col("value_sum") * w / F.col("weight_sum"), "weight_sum": w})
 
 
 def merge_blocks(field: DataFrame) -> DataFrame:
-    """All temporal blocks of a node together; every block that touches a node is a hit."""
-    return field.groupBy("k").agg(F.sum("value_sum").alias("value_sum"), F.sum("weight_sum").alias("weight_sum"), F.count_distinct("block").alias("hit_count"), F.bit_or(K.mask_bit(F.col("block"))).alias("mask"))
+    """All temporal blocks of a node together; every block that touches a node is a hit.
+
+    ``field`` has one row for each block and node, so blocks are counted as rows.
+    """
+    return field.groupBy("k").agg(F.sum("value_sum").alias("value_sum"), F.sum("weight_sum").alias("weight_sum"), F.count(F.lit(1)).alias("hit_count"), F.bit_or(K.mask_bit(F.col("block"))).alias("mask"))
+
+
+def prefixes(field: DataFrame, last: int) -> DataFrame:
+    """(c, k): the merged field as it stands after each temporal block c up to ``last``, with ``touched`` if c reached the node.
+
+    Sums run along a node's own blocks and are repeated until its next one; no block waits for another.
+    """
+    w = Window.partitionBy("k").orderBy("block")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = field.select("k", "block", F.sum("value_sum").over(so_far).alias("value_sum"), F.sum("weight_sum").over(so_far).alias("weight_sum"), F.count(F.lit(1)).over(so_far).alias("hit_count"), F.coalesce(F.lead("block").over(w) - 1, F.lit(last)).alias("until"))
+    rows = rows.withColumn("c", F.explode(F.sequence(F.col("block"), F.col("until"))))
+    return rows.select("c", "k", "value_sum", "weight_sum", "hit_count", (F.col("c") == F.col("block")).alias("touched"))
+
+
+def current_value() -> Column:
+    """The solved value where there is one, else the fused one."""
+    return F.coalesce(F.col("solved"), F.col("s"))
 
 
 def fused_value() -> Column:
@@ -41,22 +72,24 @@ def dilate(keys: DataFrame, steps: list[int] = K.AROUND) -> DataFrame:
     return keys.select(F.explode(K.offsets(steps)).alias("s"), "k").select((F.col("k") + F.col("s")).alias("k")).distinct()
 
 
-def neighbours(nodes: DataFrame, value: str, steps: list[int] = K.FACES) -> DataFrame:
-    """(k, step, value of the node at k + step): a stencil as an equi-join."""
-    asked = nodes.select("k", F.explode(K.offsets(steps)).alias("step")).withColumn("other", F.col("k") + F.col("step"))
-    return asked.join(nodes.select(F.col("k").alias("other"), F.col(value).alias("v")), "other").select("k", "step", "v")
+def neighbours(nodes: DataFrame, value: str, steps: list[int] = K.FACES, by: list[str] | None = None) -> DataFrame:
+    """(by, k, step, value of the node at k + step): a stencil as an equi-join."""
+    by = by or []
+    asked = nodes.select(*by, "k", F.explode(K.offsets(steps)).alias("step")).withColumn("other", F.col("k") + F.col("step"))
+    return asked.join(nodes.select(*by, F.col("k").alias("other"), F.col(value).alias("v")), [*by, "other"]).select(*by, "k", "step", "v")
 
 
-def normals(nodes: DataFrame, value: str = "s") -> DataFrame:
+def normals(nodes: DataFrame, value: str = "s", by: list[str] | None = None) -> DataFrame:
     """Unit gradients by central differences, one-sided where a neighbour is missing, null without any."""
-    around = neighbours(nodes, value)
+    by = by or []
+    around = neighbours(nodes, value, by=by)
     pick = lambda step: F.max(F.when(F.col("step") == step, F.col("v")))
-    sides = around.groupBy("k").agg(*[pick(s * K.STEP[a]).alias(f"{a}{n}") for a in "xyz" for s, n in ((1, "p"), (-1, "m"))])
-    rows = nodes.join(sides, "k")
+    sides = around.groupBy(*by, "k").agg(*[pick(s * K.STEP[a]).alias(f"{a}{n}") for a in "xyz" for s, n in ((1, "p"), (-1, "m"))])
+    rows = nodes.join(sides, [*by, "k"])
     d = {a: F.coalesce((F.col(f"{a}p") - F.col(f"{a}m")) / 2, F.col(f"{a}p") - F.col(value), F.col(value) - F.col(f"{a}m"), F.lit(0.0)) for a in "xyz"}
-    rows = rows.select("k", *[c.alias(f"g{a}") for a, c in d.items()])
+    rows = rows.select(*by, "k", *[c.alias(f"g{a}") for a, c in d.items()])
     n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
-    return rows.select("k", *[F.when(n > 1e-9, F.col(f"g{a}") / n).alias(f"n{a}") for a in "xyz"])
+    return rows.select(*by, "k", *[F.when(n > 1e-9, F.col(f"g{a}") / n).alias(f"n{a}") for a in "xyz"])
 
 
 def conflict_target(kind: str, hits: float = 3.0, beta: float = 1.0, f: float = 0.12, kappa: float = 0.5) -> tuple[Column, Column]:
@@ -70,22 +103,67 @@ def conflict_target(kind: str, hits: float = 3.0, beta: float = 1.0, f: float =
     return target, c
 
 
-def jacobi(nodes: DataFrame, steps: int, damping: float = 0.8, smooth: float = 1.0, cut=None) -> DataFrame:
+def solve_region(nodes: DataFrame, moved: Column, cells: int, rings: int = 1) -> DataFrame:
+    """Nodes in the spatial blocks of those that ``moved`` and in ``rings`` of blocks around; inside are the former."""
+    rows = nodes.withColumn("home", K.block_of(F.col("k"), cells))
+    inner = rows.where(moved).select("home").distinct()
+    region = inner
+    for _ in range(rings):
+        region = dilate(region.withColumnRenamed("home", "k")).withColumnRenamed("k", "home")
+    near = rows.join(region, "home", "left_semi").join(inner.withColumn("in_", F.lit(True)), "home", "left")
+    return near.select(*nodes.columns, F.coalesce("in_", F.lit(False)).alias("inside"))
+
+
+def jacobi(nodes: DataFrame, steps: int, damping: float = 0.8, smooth: float = 1.0, tolerance: float = 0.0, every: int = 3) -> DataFrame:
     """Damped Jacobi steps of ``c (s - target) + smooth * (s - mean of neighbours) = 0`` on interior nodes.
 
-    ``nodes``: k, s, target, c, inside. The adjacency is an equi-join on shifted keys. ``cut`` writes
-    a step's table to shared storage so lineage stays short; a few steps need none.
+    ``nodes``: k, s, target, c, inside. The adjacency is an equi-join on shifted keys, made once. Lineage
+    is cut ``every`` few steps, so the plan does not grow with ``steps``; with a ``tolerance`` it is
+    cut at each, and steps end when no undamped change reaches it.
     """
-    for step in range(steps):
-        mean = neighbours(nodes, "s").groupBy("k").agg(F.sum("v").alias("nv"), F.count(F.lit(1)).alias("deg"))
+    pairs = nodes.select("k", F.explode(K.offsets(K.FACES)).alias("step")).select("k", (F.col("k") + F.col("step")).alias("other"))
+    if steps > every or tolerance:
+        pairs = cut(pairs.join(nodes.select(F.col("k").alias("other")), "other"))
+    for step in range(1, steps + 1):
+        mean = pairs.join(nodes.select(F.col("k").alias("other"), F.col("s").alias("v")), "other").groupBy("k").agg(F.sum("v").alias("nv"), F.count(F.lit(1)).alias("deg"))
         rows = nodes.join(mean, "k", "left")
         has = F.when(F.coalesce("deg", F.lit(0)) > 0, smooth).otherwise(0.0)
         full = (F.col("c") * F.col("target") + has * F.coalesce(F.col("nv") / F.col("deg"), F.lit(0.0))) / (F.col("c") + has)
-        new = F.when(F.col("inside") & (F.col("c") + has > 0), F.col("s") + damping * (full - F.col("s"))).otherwise(F.col("s"))
-        nodes = rows.select("k", new.alias("s"), "target", "c", "inside")
-        if cut is not None:
-            nodes = cut(nodes, step)
-    return nodes
+        change = F.when(F.col("inside") & (F.col("c") + has > 0), full - F.col("s")).otherwise(F.lit(0.0))
+        nodes = rows.select("k", (F.col("s") + damping * change).alias("s"), "target", "c", "inside", F.abs(change).alias("change"))
+        if tolerance:
+            nodes = cut(nodes)
+            if (nodes.agg(F.max("change")).first()[0] or 0.0) < tolerance:
+                break
+        elif step % every == 0 and step < steps:
+            nodes = cut(nodes)
+    return nodes.select("k", "s", "target", "c", "inside")
+
+
+def changed(before: DataFrame, solved: DataFrame, least: float = 1e-4) -> DataFrame:
+    """Interior nodes that the solve moved by more than ``least``, with their new value."""
+    old = before.select("k", F.col("s").alias("s_old"))
+    return solved.where("inside").join(old, "k").where(F.abs(F.col("s") - F.col("s_old")) > least).select("k", "s")
+
+
+def unit_counts(units: DataFrame, hits: str, passes: str, newly: str) -> DataFrame:
+    """h and p in units of scans or rays, rescaled so that on average they weigh as much as block counts.
+
+    ``units`` has a row for each block and node it touched or voted on: block hits are 1 where ``hits`` is
+    not null, block passes 1 where ``newly``.
+    """
+    totals = units.agg(F.count(hits).alias("bh"), F.sum(hits).alias("uh"), F.count_if(F.col(newly)).alias("bp"), F.sum(F.when(F.col(newly), F.col(passes))).alias("up"))
+    scale = totals.select(F.coalesce(F.try_divide("bh", "uh"), F.lit(1.0)).alias("sh"), F.coalesce(F.try_divide("bp", "up"), F.lit(1.0)).alias("sp"))
+    per = units.groupBy("k").agg(F.coalesce(F.sum(hits), F.lit(0.0)).alias("h"), F.coalesce(F.sum(F.when(F.col(newly), F.col(passes))), F.lit(0.0)).alias("p"))
+    return per.crossJoin(scale).select("k", (F.col("h") * F.col("sh")).alias("h"), (F.col("p") * F.col("sp")).alias("p"))  # one row
+
+
+def far_blocks(nodes: DataFrame, x: float, y: float, z: float, reach: float, voxel: float, cells: int = K.BLOCK_CELLS) -> DataFrame:
+    """Spatial blocks whose centre is farther than ``reach`` from a place: what a bounded memory would let go."""
+    blocks = nodes.select(K.block_of(F.col("k"), cells).alias("block")).distinct()
+    centre = [(c + 0.5) * cells * voxel for c in K.unpack(F.col("block"))]
+    d2 = sum(((c - o) * (c - o) for c, o in zip(centre, (x, y, z))), F.lit(0.0))
+    return blocks.where(d2 > reach * reach)
 
 
 def moments(points: DataFrame, sizes: list[float], by: list[str]) -> DataFrame:

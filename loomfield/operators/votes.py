@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import keys as K
 
 
-def pass_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, normals: bool = True, broadcast_nodes: int = 1_000_000) -> DataFrame:
-    """(k, n_free): scans with a ray that passes the node and none that hits it.
+def scan_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, normals: bool = True, by: list[str] | None = None, least_rays: int = 1, count_rays: bool = False, prefilter: int = 8, broadcast_nodes: int = 1_000_000) -> DataFrame:
+    """(by, k, scan): scans with ``least_rays`` rays that pass the node and none that hits it; if asked also those rays as n_rays.
 
-    A ray becomes one row per voxel step and each step asks the 27 nodes around it, an equi-join on
-    keys; the exact tests are residuals. (node, scan) is aggregated first with idempotent maxima, so
-    a ray that meets a node in several steps needs no distinct. Up to ``broadcast_nodes`` nodes are
-    broadcast, so that steps stay in the task of their ray; more are joined by a shuffle.
-    ``nodes``: k and, with ``normals``, nx, ny, nz; ``rays``: scan, ox..oz, ex..ez.
+    A ray becomes one row per voxel step; steps in cubes of ``prefilter`` voxels without a node near are
+    dropped before each of the rest asks the 27 nodes around it, an equi-join on keys; the exact tests
+    are residuals. Up to ``broadcast_nodes`` nodes are broadcast, so that steps stay in the task of their
+    ray; more are joined by a shuffle. ``nodes``: by, k and, with ``normals``, nx, ny, nz; ``rays``: by, scan,
+    ox..oz, ex..ez, and ray where rays are counted.
     """
-    nodes = nodes.persist()
-    if nodes.count() <= broadcast_nodes:
-        nodes = F.broadcast(nodes)
+    by = by or []
+    few = nodes.limit(broadcast_nodes + 1).count() <= broadcast_nodes
+    hint = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     d = {a: F.col(f"e{a}") - F.col(f"o{a}") for a in "xyz"}
     length = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
-    r = rays.select("scan", "ox", "oy", "oz", *[(c / length).alias(f"u{a}") for a, c in d.items()], length.alias("len")).where(F.col("len") > clearance)
+    single = ["ray"] if count_rays or least_rays > 1 else []
+    r = rays.select(*by, "scan", *single, "ox", "oy", "oz", *[(c / length).alias(f"u{a}") for a, c in d.items()], length.alias("len")).where(F.col("len") > clearance)
     steps = F.sequence(F.lit(0), F.floor((F.col("len") + clearance + voxel) / voxel).cast("int"))
     r = r.select("*", F.explode(steps).alias("i"))
     at = [F.rint((F.col(f"o{a}") + F.col(f"u{a}") * F.col("i") * voxel) / voxel).cast("bigint") for a in "xyz"]
-    r = r.select("scan", "ox", "oy", "oz", "ux", "uy", "uz", "len", K.pack(*at).alias("v"))
+    r = r.select(*by, "scan", *single, "ox", "oy", "oz", "ux", "uy", "uz", "len", K.pack(*at).alias("v"))
+    cubes = nodes.select(*by, F.explode(K.offsets(K.AROUND)).alias("s"), "k").select(*by, K.block_of(F.col("k") + F.col("s"), prefilter).alias("cube")).distinct()
+    r = r.withColumn("cube", K.block_of(F.col("v"), prefilter)).join(hint(cubes), [*by, "cube"], "left_semi").drop("cube")
     asked = r.withColumn("step", F.explode(K.offsets(K.AROUND))).withColumn("k", F.col("v") + F.col("step")).drop("v", "step")
-    met = asked.join(nodes, "k")
+    met = asked.join(hint(nodes), [*by, "k"])
     p = {a: c * voxel - F.col(f"o{a}") for a, c in zip("xyz", K.unpack(F.col("k")))}
     along = sum((p[a] * F.col(f"u{a}") for a in "xyz"), F.lit(0.0))
     p2 = sum((c * c for c in p.values()), F.lit(0.0))
@@ -43,19 +46,42 @@ def pass_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float
         passes = close & (F.col("len") >= along + clearance)
     far = p2 > clearance * clearance
     hits = close & (F.abs(F.col("len") - along) < clearance)
-    tests = met.select("k", "scan", (passes & far).alias("pass"), (hits & far).alias("hit"))
-    per_scan = tests.groupBy("k", "scan").agg(F.max("pass").alias("pass"), F.max("hit").alias("hit"))
-    return per_scan.where("pass AND NOT hit").groupBy("k").agg(F.count(F.lit(1)).alias("n_free"))
+    tests = met.select(*by, "k", "scan", *single, (passes & far).alias("pass"), (hits & far).alias("hit")).where("pass OR hit")
+    per_scan = tests.groupBy(*by, "k", "scan", *single).agg(F.max("pass").alias("pass"), F.max("hit").alias("hit"))
+    if not single:  # one ray is enough, and meeting a node in several steps changes nothing
+        return per_scan.where("pass AND NOT hit").select(*by, "k", "scan")
+    counted = per_scan.groupBy(*by, "k", "scan").agg(F.count_if("pass").alias("n_rays"), F.max("hit").alias("hit"))
+    return counted.where((F.col("n_rays") >= least_rays) & ~F.col("hit")).select(*by, "k", "scan", "n_rays")
+
+
+def pass_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, normals: bool = True, broadcast_nodes: int = 1_000_000) -> DataFrame:
+    """(k, n_free): in how many scans a ray passes the node and none hits it."""
+    return scan_votes(nodes, rays, voxel, clearance, radius, normals, broadcast_nodes=broadcast_nodes).groupBy("k").agg(F.count(F.lit(1)).alias("n_free"))
+
+
+def candidates(c: str = "value_sum", w: str = "weight_sum") -> Column:
+    """Nodes inside the fused surface: only they can be voted on."""
+    return (F.col(w) > 0) & (F.col(c) <= 0)
+
+
+def block_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, least_rays: int = 1, count_rays: bool = False) -> DataFrame:
+    """(c, k, n_scans): nodes that temporal block c votes on, once whatever its scans; if asked also n_rays.
+
+    ``nodes`` has the candidates of each block with their normals, ``rays`` the block c they belong to.
+    """
+    found = scan_votes(nodes, rays, voxel, clearance, radius, by=["c"], least_rays=least_rays, count_rays=count_rays)
+    return found.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n_scans"), *([F.sum("n_rays").alias("n_rays")] if count_rays else []))
 
 
 def along_ray(returns: DataFrame, voxel: float) -> DataFrame:
     """Samples along each ray around its return: values fall from +1 to -1 through the surface.
 
-    ``returns``: id, x, y, z, dx, dy, dz (unit ray), range, cosine, trunc, conf.
+    ``returns``: id, x, y, z, dx, dy, dz (unit ray), range, cosine, trunc, tau, conf.
     """
     half = F.greatest(F.lit(2), F.ceil(F.col("trunc") / voxel)).cast("int")
     rows = returns.where((F.col("range") > F.col("trunc") + 1e-6) & (F.col("conf") > 0)).select("*", half.alias("half")).select("*", F.explode(F.sequence(-F.col("half"), F.col("half"))).alias("i"))
     offset = F.col("trunc") * F.col("i") / F.col("half")
     cosine = F.greatest(F.least(F.abs("cosine"), F.lit(1.0)), F.lit(0.05))
     value = F.greatest(F.least(-offset * cosine / F.col("trunc"), F.lit(1.0)), F.lit(-1.0))
-    return rows.select("id", "i", *[(F.col(a) + F.col(f"d{a}") * offset).alias(a) for a in "xyz"], value.alias("value"), ((1 - 0.35 * F.abs(value)) * F.col("conf")).alias("weight"))
+    thick = offset * cosine / F.col("tau")
+    return rows.select("id", "i", *[(F.col(a) + F.col(f"d{a}") * offset).alias(a) for a in "xyz"], value.alias("value"), ((1 - 0.35 * F.abs(value)) * F.col("conf") * F.exp(-0.5 * thick * thick)).alias("weight"))

@@ -205,25 +205,10 @@ ORACLES: dict[str, str] = {
     "ray_samples": q(
         _RET, _RAY, "hs AS (SELECT *, CAST(greatest(2, ceil(trunc / 0.4e0)) AS INTEGER) AS half FROM ray WHERE range > trunc + 1e-6 AND conf > 0)",
         "st AS (SELECT *, unnest(generate_series(-half, half)) AS i FROM hs)", "vl AS (SELECT *, trunc * i / half AS off, greatest(least(-(trunc * i / half) * greatest(least(abs(dz), 1e0), 0.05e0) / trunc, 1e0), -1e0) AS value FROM st)",
-        body="SELECT id, CAST(i AS INTEGER) AS i, round(x + dx*off, 6) AS x, round(y + dy*off, 6) AS y, round(z + dz*off, 6) AS z, round(value, 6) AS value, round((1 - 0.35e0*abs(value)) * conf, 6) AS weight FROM vl",
+        body="SELECT id, CAST(i AS INTEGER) AS i, round(x + dx*off, 6) AS x, round(y + dy*off, 6) AS y, round(z + dz*off, 6) AS z, round(value, 6) AS value, round((1 - 0.35e0*abs(value)) * conf * exp(-0.5e0 * power(off * greatest(least(abs(dz), 1e0), 0.05e0) / (trunc / 3), 2)), 6) AS weight FROM vl",
     ),
     "lateral_counts": q(_RET, body="SELECT frame, pt, CAST(n + (1 - n % 2) AS INTEGER) AS n FROM (SELECT frame, pt, CAST(least(ceil(3.141592653589793e0 * (weight * 0.5e0 + 0.1e0) * (z * 0.1e0 + 0.1e0) / 0.16e0), 25) AS BIGINT) AS n FROM r0)"),
-    "lateral_disc": q(
-        _RET, _RAY, *_basis("ray"),
-        "ld AS (SELECT *, sqrt((i + 0.5e0) / 3e0) * trunc AS r, i * 2.399963229728653e0 AS t FROM u2, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([1, -1]) AS side))",
-        body="SELECT id, CAST(i AS INTEGER) AS i, CAST(side AS INTEGER) AS side, " + ", ".join(f"round({a} + side * (cos(t) * r * u{a} + sin(t) * r * v{a}), 5) AS {a}" for a in "xyz") + " FROM ld",
-    ),
     "knn": q(_CLOUD, "d AS (SELECT a.pid, b.pid AS oid, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM cl a, cl b)", "rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY pid ORDER BY d2, oid) AS INTEGER) AS rank FROM d WHERE d2 <= 0.8e0 * 0.8e0)", body="SELECT pid, oid, rank, round(d2, 6) AS dist2 FROM rk WHERE rank <= 8"),
-    "pass_votes": q(
-        *_FIELD, "fn AS (SELECT frame, count(*) AS n FROM r0 WHERE frame % 10 <> 5 GROUP BY frame)",
-        "es AS (SELECT frame, pt FROM r0 JOIN fn USING (frame) WHERE n <= 100 UNION SELECT frame, CASE WHEN i = 99 THEN n - 1 ELSE CAST(floor(i * (n - 1) / 99e0) AS BIGINT) END FROM fn, (SELECT unnest(generate_series(0, 99)) AS i) WHERE n > 100)",
-        "ry AS (SELECT frame AS scan, x / l AS ux, y / l AS uy, z / l AS uz, l FROM (SELECT *, sqrt(x*x + y*y + z*z) AS l FROM r0 SEMI JOIN es USING (frame, pt)) WHERE l > 2.5)",
-        "sp AS (SELECT *, unnest(generate_series(0, CAST(floor(l + 3.5e0) AS BIGINT))) AS i FROM ry)",
-        f"ak AS (SELECT DISTINCT scan, ux, uy, uz, l, {pack(*[f'CAST(round_even(u{a} * i, 0) AS BIGINT)' for a in 'xyz'])} + step AS k FROM sp, {_AROUND})",
-        f"mt AS (SELECT k, scan, l, {unpack('k')[0]} * ux + {unpack('k')[1]} * uy + {unpack('k')[2]} * uz AS al, {unpack('k')[0]}*{unpack('k')[0]} + {unpack('k')[1]}*{unpack('k')[1]} + {unpack('k')[2]}*{unpack('k')[2]} AS p2 FROM ak JOIN (SELECT k FROM nod) USING (k))",
-        "ts AS (SELECT k, scan, max(al > 0 AND p2 - al*al <= 2.25 AND l >= al + 2.5 AND p2 > 6.25) AS ps, max(al > 0 AND p2 - al*al <= 2.25 AND abs(l - al) < 2.5 AND p2 > 6.25) AS ht FROM mt GROUP BY k, scan)",
-        body="SELECT k, count(*) AS n_free FROM ts WHERE ps AND NOT ht GROUP BY k",
-    ),
     "evidence_units": q(_RET, _SMP, _spl("sf", "block, frame,"), body="SELECT block, k, count(DISTINCT frame) AS n_frames, round(sum(weight_sum), 6) AS weight FROM sf GROUP BY block, k"),
     "cube_vertices": q(*_FIELD, *_cubes(), body="SELECT cube, observed, n, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM ver"),
     "quads": q(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import geometry as G
 from loomfield.functions import keys as K
-from loomfield.operators import field, scans, scores, surface, votes
+from loomfield.operators import field, scans, scores, support, surface, votes
 
 from . import surrogates as S
 
@@ -204,8 +204,8 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def current_value(spark, d):
-    solved = F.when(F.col("k") % 3 == 0, F.col("s") / 2)
-    return nodes(spark, d).select("k", F.round(F.coalesce(solved, F.col("s")) + OFF_TIES, 5).alias("current"))
+    rows = nodes(spark, d).withColumn("solved", F.when(F.col("k") % 3 == 0, F.col("s") / 2))
+    return rows.select("k", F.round(field.current_value() + OFF_TIES, 5).alias("current"))
 
 
 @query
@@ -273,7 +273,7 @@ def local_frame(spark, d):
 
 def rays(spark: SparkSession, d: str) -> DataFrame:
     u = G.unit(G.vec("x", "y", "z"))
-    return S.returns(spark, d).select((F.col("frame") * 10_000_000 + F.col("pt")).alias("id"), "x", "y", "z", *[c.alias(f"d{a}") for a, c in zip("xyz", u)], G.norm(G.vec("x", "y", "z")).alias("range"), u[2].alias("cosine"), (0.5 + F.col("frame") % 3).alias("trunc"), F.col("weight").alias("conf"))
+    return S.returns(spark, d).select((F.col("frame") * 10_000_000 + F.col("pt")).alias("id"), "x", "y", "z", *[c.alias(f"d{a}") for a, c in zip("xyz", u)], G.norm(G.vec("x", "y", "z")).alias("range"), u[2].alias("cosine"), (0.5 + F.col("frame") % 3).alias("trunc"), ((0.5 + F.col("frame") % 3) / 3.0).alias("tau"), F.col("weight").alias("conf"))
 
 
 @query
@@ -284,20 +284,8 @@ def ray_samples(spark, d):
 @query
 def lateral_counts(spark, d):
     """Odd number of samples across a ray from the area of an ellipse, at most 25."""
-    a, b = F.col("weight") * 0.5 + 0.1, F.col("z") * 0.1 + 0.1
-    n = F.least(F.ceil(F.lit(3.141592653589793) * a * b / 0.16), F.lit(25))
-    return S.returns(spark, d).select("frame", "pt", (n + (1 - n % 2)).cast("int").alias("n"))
-
-
-@query
-def lateral_disc(spark, d):
-    """Antipodal pairs of a golden-angle spiral across each ray."""
-    u, v = G.ray_basis(G.vec("dx", "dy", "dz"))
-    rows = rays(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    r, t = F.sqrt((F.col("i") + 0.5) / 3.0) * F.col("trunc"), F.col("i") * 2.399963229728653
-    step = [F.cos(t) * r * a + F.sin(t) * r * b for a, b in zip(u, v)]
-    pairs = rows.select("id", "i", *[F.col(a).alias(a) for a in "xyz"], *[s.alias(f"s{a}") for a, s in zip("xyz", step)], F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
-    return pairs.select("id", "i", "side", *[F.round(F.col(a) + F.col("side") * F.col(f"s{a}"), 5).alias(a) for a in "xyz"])
+    n = support.lateral_count(F.col("weight") * 0.5 + 0.1, F.col("z") * 0.1 + 0.1, 0.4, limited=False)
+    return S.returns(spark, d).select("frame", "pt", n.alias("n"))
 
 
 # neighbours and votes
@@ -312,17 +300,17 @@ def knn(spark, d):
 
 @query
 def pass_votes(spark, d):
-    """Each scan gives at most ``MAX_RAYS_PER_SCAN`` evenly spaced rays."""
+    """Votes on every node by its tangent plane; each scan gives at most ``MAX_RAYS_PER_SCAN`` evenly spaced rays."""
     n = nodes(spark, d)
     r = scans.even_subsample(S.returns(spark, d).where("frame % 10 <> 5"), MAX_RAYS_PER_SCAN).select(F.col("frame").alias("scan"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), *[F.col(a).alias(f"e{a}") for a in "xyz"])
-    return votes.pass_votes(n.select("k"), r, 1.0, 2.5, 1.5, normals=False)
+    return votes.pass_votes(n.select("k").join(field.normals(n), "k", "left"), r, 1.0, 2.5, 1.5)
 
 
 @query
 def evidence_units(spark, d):
     """Hits counted as frames per block."""
     at = field.splat(S.samples(spark, d), ["block", "frame"])
-    return at.groupBy("block", "k").agg(F.count_distinct("frame").alias("n_frames"), r6(F.sum("weight_sum")).alias("weight"))
+    return at.groupBy("block", "k").agg(F.count(F.lit(1)).alias("n_frames"), r6(F.sum("weight_sum")).alias("weight"))
 
 
 # surfaces

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from loomfield.plans.oracles import ORACLES
-from loomfield.plans.registry import QUERIES
+from loomfield.plans.catalog import ORACLES, QUERIES
 from tests.oracle import differences
 
 TINY = "/root/testdata/sf0.001"

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomfield.functions import keys as K
-from loomfield.operators import scans, votes
+from loomfield.operators import field, scans, votes
 from loomfield.plans import registry
 from loomfield.plans import surrogates as S
 
@@ -16,8 +16,8 @@ TINY = "/root/testdata/sf0.001"
 AROUND = list(itertools.product((-1, 0, 1), repeat=3))
 
 
-def brute_votes(nodes: set, ends: dict, clearance: float, radius: float) -> dict:
-    """Free scans of each node (x, y, z) by walking every ray from the origin in steps of one."""
+def brute_votes(nodes: dict, ends: dict, clearance: float, radius: float) -> dict:
+    """Free scans of each node (x, y, z) -> normal or None by walking every ray from the origin in steps of one."""
     free: dict = {}
     for rays in ends.values():
         passed, hit = set(), set()
@@ -27,11 +27,23 @@ def brute_votes(nodes: set, ends: dict, clearance: float, radius: float) -> dict
                 continue
             u = e / length
             at = {tuple(v) for v in np.rint(np.outer(np.arange(np.floor(length + clearance + 1) + 1), u)).astype(int).tolist()}
-            near = np.array(sorted({(x + i, y + j, z + k) for x, y, z in at for i, j, k in AROUND} & nodes)).reshape(-1, 3)
-            along, p2 = near @ u, (near * near).sum(1)
-            close = (along > 0) & (p2 - along * along <= radius * radius) & (p2 > clearance * clearance)
-            passed |= set(map(tuple, near[close & (length >= along + clearance)].tolist()))
-            hit |= set(map(tuple, near[close & (np.abs(length - along) < clearance)].tolist()))
+            near = sorted({(x + i, y + j, z + k) for x, y, z in at for i, j, k in AROUND} & nodes.keys())
+            for p in near:
+                v, n = np.array(p, float), nodes[p]
+                along, p2 = v @ u, v @ v
+                if p2 <= clearance * clearance:
+                    continue
+                close = along > 0 and p2 - along * along <= radius * radius
+                if close and abs(length - along) < clearance:
+                    hit.add(p)
+                if n is None:
+                    passes = close and length >= along + clearance
+                else:
+                    facing = n @ u
+                    t = n @ v / facing if abs(facing) > 1e-6 else -1.0
+                    passes = t > 0 and ((u * t - v) ** 2).sum() <= radius * radius and length >= t + clearance
+                if passes:
+                    passed.add(p)
         for k in passed - hit:
             free[k] = free.get(k, 0) + 1
     return free
@@ -39,13 +51,20 @@ def brute_votes(nodes: set, ends: dict, clearance: float, radius: float) -> dict
 
 def test_pass_votes_of_whole_scans(spark):
     place = lambda k: ((k >> 42) - (1 << 20), (k >> 21 & (1 << 21) - 1) - (1 << 20), (k & (1 << 21) - 1) - (1 << 20))
-    nodes = {place(r["k"]) for r in registry.nodes(spark, TINY).select("k").collect()}
+    n = field.cut(registry.nodes(spark, TINY))
+    rays = field.cut(S.returns(spark, TINY).where("frame % 10 <> 5 AND pt < 40"))
+    with_normals = n.select("k").join(field.normals(n), "k", "left")
+    nodes = {place(r["k"]): None if r["nx"] is None else np.array([r["nx"], r["ny"], r["nz"]]) for r in with_normals.collect()}
     ends: dict = {}
-    for r in S.returns(spark, TINY).where("frame % 10 <> 5").collect():
+    for r in rays.collect():
         ends.setdefault(r["frame"], []).append((r["x"], r["y"], r["z"]))
-    assert 100 < max(map(len, ends.values())) <= 12_000
-    got = {place(r["k"]): r["n_free"] for r in registry.QUERIES["pass_votes"](spark, TINY).collect()}
-    assert got == brute_votes(nodes, ends, 2.5, 1.5)
+    asked = rays.select(F.col("frame").alias("scan"), F.col("pt").alias("ray"), *[F.lit(0.0).alias(f"o{a}") for a in "xyz"], *[F.col(a).alias(f"e{a}") for a in "xyz"])
+    want = brute_votes(nodes, ends, 2.5, 1.5)
+    got = votes.pass_votes(with_normals, asked, 1.0, 2.5, 1.5)
+    assert {place(r["k"]): r["n_free"] for r in got.collect()} == want
+    counted = votes.scan_votes(with_normals, asked, 1.0, 2.5, 1.5, count_rays=True)
+    assert {place(r["k"]): r["n"] for r in counted.groupBy("k").agg(F.count("scan").alias("n")).collect()} == want
+    assert counted.where("n_rays < 1").isEmpty()
 
 
 def test_shuffled_nodes_give_the_same_votes(spark):
@@ -58,6 +77,6 @@ def test_shuffled_nodes_give_the_same_votes(spark):
 
 def test_pass_votes_budget_is_the_reference_one(spark, monkeypatch):
     asked = []
-    monkeypatch.setattr(scans, "even_subsample", lambda points, most: asked.append(most) or points)
+    monkeypatch.setattr(scans, "even_subsample", lambda points, most, *_: asked.append(most) or points)
     registry.QUERIES["pass_votes"](spark, TINY)
     assert asked == [12_000]
