@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +42,46 @@ def test_calibration_must_be_rigid():
         scans.parse_calibration('{"imu_from_lidar": {"rotation": [1,0,0,0,1,0,0,0,-1], "translation": [0,0,0]}}')
 
 
+def test_calibration_names_and_camera():
+    turn = [0, -1, 0, 1, 0, 0, 0, 0, 1]
+    first = scans.parse_calibration(json.dumps({"imu_from_lidar": {"rotation": turn, "translation": [1, 2, 3]}, "camera": {"K": [400, 0, 320, 0, 410, 240, 0, 0, 1]}}))
+    other = scans.parse_calibration(json.dumps({"extrin_calib": {"extrinsic_R": turn, "extrinsic_T": [1, 2, 3]}, "camera": {"fx": 400, "fy": 410, "cx": 320, "cy": 240}}))
+    square = scans.parse_calibration(json.dumps({"imu_from_lidar": [0, -1, 0, 1, 1, 0, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1]}))
+    assert first == other and first["camera"] == [400.0, 410.0, 320.0, 240.0] and square["rotation"] == first["rotation"] and square["translation"] == [1, 2, 3]
+
+
+def test_manifest_and_sequence(spark, tmp_path):
+    line = lambda i, **more: json.dumps({"frame_id": str(i), "lidar_path": f"scans/{i}.pcd", "lidar_timestamp_ns": i * 100_000_000} | more)
+    (tmp_path / "m.jsonl").write_text("\n".join([line(1), line(2), line(40)]) + "\n")
+    rows = scans.checked_manifest(scans.read_manifest(spark, str(tmp_path / "m.jsonl")))
+    assert [(r["frame"], r["point_time_unit"]) for r in rows.orderBy("frame").collect()] == [(0, "nanoseconds"), (1, "nanoseconds"), (2, "nanoseconds")]
+    (tmp_path / "t.txt").write_text("".join(f"{i / 10:.1f} {i} 0 0 0 0 0 1\n" for i in range(5)))
+    placed = scans.load_sequence(rows, scans.read_trajectory(spark, str(tmp_path / "t.txt")), {"rotation": np.eye(3).tolist(), "translation": [0.5, 0, 0]}).orderBy("frame").collect()
+    assert [(r["frame"], r["px"], r["r11"]) for r in placed] == [(0, 1.5, 1.0), (1, 2.5, 1.0)]
+    (tmp_path / "bad.jsonl").write_text(line(1, colour="red"))
+    with pytest.raises(Exception, match="unknown field colour"):
+        scans.read_manifest(spark, str(tmp_path / "bad.jsonl")).collect()
+    (tmp_path / "twice.jsonl").write_text(line(1) + "\n" + line(1))
+    with pytest.raises(ValueError, match="increase"):
+        scans.checked_manifest(scans.read_manifest(spark, str(tmp_path / "twice.jsonl")))
+    (tmp_path / "out.jsonl").write_text(line(1, lidar_path="../x.pcd"))
+    with pytest.raises(Exception, match="leaves the sequence"):
+        scans.load_sequence(scans.read_manifest(spark, str(tmp_path / "out.jsonl")), scans.read_trajectory(spark, str(tmp_path / "t.txt")), {"rotation": np.eye(3).tolist(), "translation": [0, 0, 0]}).collect()
+
+
+def test_written_clouds_and_meshes_are_read_back(spark, tmp_path):
+    points = spark.createDataFrame([(f, i, float(i + 1), 0.0, 0.0, 1.0, 5 * i) for f in (3, 4) for i in range(4)], "frame int, pt int, x double, y double, z double, intensity double, off_ns long")
+    assert sinks.write_clouds(points, str(tmp_path)) == 2
+    back = scans.read_clouds(spark, str(tmp_path / "000003.pcd"), time_field="offset_time", unit="nanoseconds").orderBy("pt").collect()
+    assert [(r["x"], r["off_ns"]) for r in back] == [(1.0, 0), (2.0, 5), (3.0, 10), (4.0, 15)]
+    v = spark.createDataFrame([(i * 10, float(i), 0.0, 0.0) for i in range(3)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 10, 20)], "a long, b long, c long")
+    assert sinks.write_mesh(v, f, str(tmp_path), "m.ply") == 1 and (tmp_path / "m.ply").read_bytes().startswith(b"ply\n")
+    with pytest.raises(ValueError, match="cannot be written"):
+        sinks.write_mesh(v, f.withColumn("c", F.lit(99).cast("long")), str(tmp_path), "m.ply")
+    assert [r["sha256"] for r in scans.content_hashes(spark, str(tmp_path / "m.ply")).collect()] == [hashlib.sha256((tmp_path / "m.ply").read_bytes()).hexdigest()]
+
+
 def test_mesh_bytes():
     raw = sinks.ply_bytes(np.zeros((3, 3)), np.array([[0, 1, 2]]))
     assert raw.startswith(b"ply\n") and len(raw.split(b"end_header\n")[1]) == 3 * 12 + 13
