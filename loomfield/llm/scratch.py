@@ -2,23 +2,30 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, never by keeping blocks on
 executors, so that losing an executor costs a re-read and not a recomputation. Where the session
-names no such folder (tests on one machine) one is made and set once.
+names no such folder one is made and set once if the session is on one machine (tests); on a
+cluster that is an error, as a folder of the driver's is not the executors'.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark deletes the files of an execution's shuffles when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session, or one of our own when none is named."""
+    """The folder named by the session, or one of our own when none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomfield-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -33,22 +40,16 @@ class Scratch:
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
+        """Write ``df`` and read it back; nobody reads the shuffles of that job again, so their files go with it."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def narrow(self, df: DataFrame, name: str) -> DataFrame:
-        """``table`` for a job with wide shuffles: their files are let go before the next job.
-
-        Spark deletes a shuffle's files once the driver has collected the objects of the plan that
-        made them, which may be long after the last read; asking for a collection makes it prompt.
-        """
-        out = self.table(df, name)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return out
-
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them; a stopped session leaves nothing to delete with."""
         context = self.spark.sparkContext

@@ -3,20 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_KEEP = 300_000
-
-
-class Hashes(dict):
-    """64-bit hashes of words; words seen before are looked up."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _KEEP:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
@@ -25,10 +13,6 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def hashed(words: list[bytes], cache: Hashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed permutation of 64-bit values."""
     x = x ^ (x >> np.uint64(32))

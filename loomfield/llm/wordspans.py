@@ -127,9 +127,9 @@ def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3, scratch: S
 
         found = _each(alive, "doc_id long, key long", length, candidates)
         if below is not None:  # it comes after a shuffle of texts, which its two readers shall not repeat
-            found = scratch.narrow(found, f"found-{level}")
+            found = scratch.table(found, f"found-{level}")
         shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-        kept = scratch.narrow(found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("alive")), f"level-{level}")
+        kept = scratch.table(found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("alive")), f"level-{level}")
         alive, below = texts.join(kept, "doc_id"), level
 
     def whole(w: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -137,13 +137,13 @@ def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3, scratch: S
         on = np.isin(W.tagged(key, w.text[start]), _lists(part.column("alive")))
         return _once(w.text[start[on]], key[on], words[on])
 
-    rows = scratch.narrow(_each(alive, "doc_id long, key long, words long", length, whole), "rows")
+    rows = scratch.table(_each(alive, "doc_id long, key long, words long", length, whole), "rows")
     distinct = rows.groupBy("key", "words").agg(F.min("doc_id").alias("owner"))
     several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.lit(True).alias("several"))
     judged = rows.join(distinct.join(several, "key", "left"), ["key", "words"])
     judged = judged.where("owner < doc_id OR several").withColumn("gone", F.col("owner") < F.col("doc_id"))
     per_doc = judged.groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone"), F.col("words"))).alias("whole"), F.collect_list(F.when(~F.col("gone"), F.col("words"))).alias("open"))
-    per_doc = scratch.narrow(per_doc, "segments")
+    per_doc = scratch.table(per_doc, "segments")
 
     def single(w: Words, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         _, start, end, words = w.segments(last)
@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame, length: int = 13, first: int = 3, scratch: S
         return _once(w.text[place], W.windows(w.h, length, 1)[place], W.windows(w.h, length, 2)[place])
 
     open_ = texts.join(per_doc.where(F.size("open") > 0).select("doc_id", "open"), "doc_id")
-    windows = scratch.narrow(_each(open_, "doc_id long, one long, two long", length, single), "windows")
+    windows = scratch.table(_each(open_, "doc_id long, one long, two long", length, single), "windows")
     owner = windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").select("one", "two", "owner")
     gone = windows.join(owner, ["one", "two"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list("one").alias("windows"))
     nothing = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("whole"), F.array().cast("array<long>").alias("windows"))
