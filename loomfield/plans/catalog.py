@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mapping, mapping_sql, oracles, registry
+from . import evaluation, evaluation_sql, mapping, mapping_sql, oracles, registry
 
-QUERIES = registry.QUERIES | mapping.QUERIES
-ORACLES = oracles.ORACLES | mapping_sql.ORACLES
+QUERIES = registry.QUERIES | mapping.QUERIES | evaluation.QUERIES
+ORACLES = oracles.ORACLES | mapping_sql.ORACLES | evaluation_sql.ORACLES

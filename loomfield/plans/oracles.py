@@ -96,9 +96,6 @@ c AS (SELECT user_id, query_id, t_ns, CASE WHEN b IS NOT NULL AND (a IS NULL OR
 pn AS (SELECT user_id, query_id, nearest_ns, abs(t_ns - nearest_ns) AS distance_ns FROM c)"""
 
 _RAY = "ray AS (SELECT frame * 10000000 + pt AS id, x, y, z, x / sqrt(x*x + y*y + z*z) AS dx, y / sqrt(x*x + y*y + z*z) AS dy, z / sqrt(x*x + y*y + z*z) AS dz, sqrt(x*x + y*y + z*z) AS range, 0.5e0 + frame % 3 AS trunc, weight AS conf FROM r0)"
-_DIST = """dp AS (SELECT a.pid, a.x, a.y, a.pid % 2 AS odd, coalesce(min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) FILTER (WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 4), 2e0) AS d
- FROM cl a JOIN cl b ON a.pid % 2 <> b.pid % 2 GROUP BY a.pid, a.x, a.y)"""
-_STAT = "st AS (SELECT CAST(floor(x / 2e0) AS BIGINT) AS cx, CAST(floor(y / 2e0) AS BIGINT) AS cy, count(*) AS n, sum(d) AS sum_d, count(*) FILTER (WHERE d <= 0.5) AS n_close FROM dp WHERE odd = 1 GROUP BY 1, 2)"
 _HELD = """ho AS (SELECT frame, CASE WHEN e < 5 THEN '0-5' WHEN e < 15 THEN '5-15' WHEN e < 30 THEN '15-30' ELSE '30+' END AS band, e AS expected,
  CASE WHEN off_ns % 7 <> 0 THEN e + (off_ns % 31 - 15) / 100e0 END AS hit FROM (SELECT *, sqrt(x*x + y*y + z*z) AS e FROM r0 WHERE frame % 10 = 5)),
 df AS (SELECT *, hit - expected AS diff FROM ho)"""
@@ -144,7 +141,7 @@ def _basis(src: str) -> list[str]:
 
 
 _DIR = "dir AS (SELECT frame, pt, x / sqrt(x*x + y*y + z*z) AS dx, y / sqrt(x*x + y*y + z*z) AS dy, z / sqrt(x*x + y*y + z*z) AS dz FROM r0)"
-_BEF = [_spl("sbb", "block,", "(SELECT * FROM smp WHERE block < 5)"), "bbd AS (SELECT block, k, value_sum * least(weight_max, weight_sum) / weight_sum AS value_sum, least(weight_max, weight_sum) AS weight_sum FROM sbb)", "bef AS (SELECT k, round(coalesce(sum(value_sum) / nullif(sum(weight_sum), 0), 0), 6) AS s_old, round(sum(weight_sum), 6) AS w_old FROM bbd GROUP BY k)", "dirt AS (SELECT coalesce(n.k, b.k) AS k FROM nod n FULL JOIN bef b ON n.k = b.k WHERE s IS NULL OR s_old IS NULL OR (s < 0) <> (s_old < 0) OR abs(s - s_old) > 0.0125 OR (w >= 0.1) <> (w_old >= 0.1))"]
+_BEF = [_spl("sbb", "block,", "(SELECT * FROM smp WHERE block < 5)"), "bbd AS (SELECT block, k, value_sum * least(weight_max, weight_sum) / weight_sum AS value_sum, least(weight_max, weight_sum) AS weight_sum FROM sbb)", "bef AS (SELECT k, round(coalesce(sum(value_sum) / nullif(sum(weight_sum), 0), 0), 6) AS s_old, round(sum(weight_sum), 6) AS w_old FROM bbd GROUP BY k)", "dirt AS (SELECT coalesce(n.k, b.k) AS k FROM nod n FULL JOIN bef b ON n.k = b.k WHERE s IS NULL OR s_old IS NULL OR (s < 0) <> (s_old < 0) OR abs(s - s_old) > 0.0125 OR (w >= 0.1) <> (w_old >= 0.1) OR abs(exp(-w / 2) - exp(-w_old / 2)) > 0.05)"]
 _DAYS = "dy AS (SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 86400000000 AS block, CAST(floor(value * 1000) AS BIGINT) AS work FROM events)"
 
 ORACLES: dict[str, str] = {
@@ -221,13 +218,6 @@ ORACLES: dict[str, str] = {
     "dirty_nodes": q(*_FIELD, *_BEF, body="SELECT k FROM dirt"),
     "dirty_blocks": q(*_FIELD, *_BEF, f"cn AS (SELECT k - step AS k FROM dirt, (VALUES {', '.join(f'({_step(c)})' for c in _CORNERS)}) AS c(step))", body=f"SELECT DISTINCT {block_of('k', 8)} AS block FROM cn"),
     "delta_replay": "WITH l AS (SELECT event_id AS chunk, user_id AS block, event_type = 'error' AS removed, value AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 900) SELECT block, chunk, payload FROM l WHERE r = 1 AND NOT removed",
-    "latency": q(_DAYS, "b AS (SELECT block, CAST(sum(work) AS BIGINT) AS work FROM dy GROUP BY block)", body="SELECT count(*) AS n, round(quantile_cont(work::DOUBLE, 0.5), 6) AS median, round(quantile_cont(work::DOUBLE, 0.95), 6) AS p95, max(work) AS most FROM b"),
-    "gt_metrics": q(_CLOUD, _DIST, "a AS (SELECT avg(d) AS accuracy, avg((d <= 0.5)::INTEGER) AS p, avg((d > 1)::INTEGER) AS o FROM dp WHERE odd = 1)", "b AS (SELECT avg(d) AS completeness, avg((d <= 0.5)::INTEGER) AS r FROM dp WHERE odd = 0)", body="SELECT round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(o, 6) AS outlier, round(completeness, 6) AS completeness, round(r, 6) AS recall, round((accuracy + completeness) / 2, 6) AS chamfer, round(CASE WHEN p + r > 0 THEN 2*p*r / (p + r) ELSE 0 END, 6) AS f_score FROM a, b"),
-    "block_stats": q(_CLOUD, _DIST, _STAT, body="SELECT cx, cy, n, round(sum_d, 6) AS sum_d, n_close FROM st"),
-    "bootstrap": q(
-        _CLOUD, _DIST, _STAT, "dr AS (SELECT draw, n, sum_d, (CAST('0x' || substr(md5('11:' || draw || ':' || cx || ':' || cy), 1, 8) AS BIGINT) % 1000) / 1000e0 AS m FROM st, (SELECT unnest(generate_series(0, 49)) AS draw))",
-        "cn AS (SELECT draw, n, sum_d, " + " + ".join(f"(m >= {p}e0)::INTEGER" for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)) + " AS c FROM dr)", body="SELECT CAST(draw AS INTEGER) AS draw, round(sum(c * sum_d) / sum(c * n), 6) AS mean_d FROM cn GROUP BY draw",
-    ),
     "ground_bands": q(_RET, "g AS (SELECT floor(x / 10e0) AS cx, floor(y / 10e0) AS cy, quantile_cont(z, 0.02) AS ground FROM r0 GROUP BY 1, 2)", "h AS (SELECT value, z - ground AS height FROM r0 JOIN g ON floor(x / 10e0) = cx AND floor(y / 10e0) = cy)", body="SELECT CASE WHEN height < 2 THEN 'low' WHEN height < 5 THEN 'middle' ELSE 'high' END AS band, count(*) AS n, round(avg(value), 6) AS mean_value FROM h GROUP BY 1"),
     "ray_metrics": q(_RET, _HELD, body=f"SELECT {_METRICS} FROM df"),
     "ray_rollup": q(_RET, _HELD, body=f"SELECT frame, band, {_METRICS} FROM df GROUP BY GROUPING SETS ((frame), (band), ())"),

@@ -371,39 +371,9 @@ def delta_replay(spark, d):
     return surface.replay(log, 900)
 
 
-@query
-def latency(spark, d):
-    """Per block: last arrival, when its output is ready, and how late that is."""
-    e = S.table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("value") * 1000).cast("bigint").alias("work"))
-    first = e.agg(F.min("us").alias("first"))
-    b = e.crossJoin(first).groupBy(F.floor((F.col("us") - F.col("first")) / 86_400_000_000).cast("bigint").alias("block")).agg(F.max("us").alias("arrived"), F.sum("work").alias("work"))
-    return b.agg(F.count(F.lit(1)).alias("n"), r6(F.expr("percentile(work, 0.5)")).alias("median"), r6(F.expr("percentile(work, 0.95)")).alias("p95"), F.max("work").alias("most"))
-
-
 # scores
 
 
-def distances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a, b = S.cloud(spark, d, True), S.cloud(spark, d, False)
-    near = lambda p, q: p.join(scores.nearest_within(p, q.select(F.col("pid").alias("oid"), "x", "y", "z"), 2.0, 1), "pid", "left").select("pid", "x", "y", F.coalesce(F.sqrt("d2"), F.lit(2.0)).alias("d"))
-    return near(a, b), near(b, a)
-
-
-@query
-def gt_metrics(spark, d):
-    return rounded(scores.distance_metrics(*distances(spark, d), 0.5, 1.0))
-
-
-@query
-def block_stats(spark, d):
-    return rounded(scores.block_statistics(distances(spark, d)[0], 2.0, 0.5))
-
-
-@query
-def bootstrap(spark, d):
-    return rounded(scores.bootstrap(scores.block_statistics(distances(spark, d)[0], 2.0, 0.5), 50, 11))
-
-
 @query
 def ground_bands(spark, d):
     h = scores.above_ground(S.returns_plain(spark, d), 10.0)
