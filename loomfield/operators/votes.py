@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import keys as K
 
+from .cut import cut
+
 
 def scan_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float, radius: float, normals: bool = True, by: list[str] | None = None, least_rays: int = 1, count_rays: bool = False, prefilter: int = 8, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """(by, k, scan): scans with ``least_rays`` rays that pass the node and none that hits it; if asked also those rays as n_rays.
@@ -18,7 +20,8 @@ def scan_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float
     ox..oz, ex..ez, and ray where rays are counted.
     """
     by = by or []
-    few = nodes.limit(broadcast_nodes + 1).count() <= broadcast_nodes
+    nodes = cut(nodes)  # it is counted, makes the cubes and meets the rays
+    few = nodes.count() <= broadcast_nodes
     hint = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     d = {a: F.col(f"e{a}") - F.col(f"o{a}") for a in "xyz"}
     length = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
@@ -32,21 +35,21 @@ def scan_votes(nodes: DataFrame, rays: DataFrame, voxel: float, clearance: float
     r = r.withColumn("cube", K.block_of(F.col("v"), prefilter)).join(hint(cubes), [*by, "cube"], "left_semi").drop("cube")
     asked = r.withColumn("step", F.explode(K.offsets(K.AROUND))).withColumn("k", F.col("v") + F.col("step")).drop("v", "step")
     met = asked.join(hint(nodes), [*by, "k"])
-    p = {a: c * voxel - F.col(f"o{a}") for a, c in zip("xyz", K.unpack(F.col("k")))}
-    along = sum((p[a] * F.col(f"u{a}") for a in "xyz"), F.lit(0.0))
-    p2 = sum((c * c for c in p.values()), F.lit(0.0))
-    close = (along > 0) & (p2 - along * along <= radius * radius)
+    # one column a step, as later ones use the earlier several times
+    met = met.withColumns({f"p{a}": c * voxel - F.col(f"o{a}") for a, c in zip("xyz", K.unpack(F.col("k")))})
+    dot = lambda u, v: sum((F.col(f"{u}{a}") * F.col(f"{v}{a}") for a in "xyz"), F.lit(0.0))
+    met = met.withColumns({"along": dot("p", "u"), "p2": dot("p", "p")})
+    # no filter here: the optimizer would write all of this into the join's condition again and again
+    close = (F.col("p2") > clearance * clearance) & (F.col("along") > 0) & (F.col("p2") - F.col("along") * F.col("along") <= radius * radius)
+    passes = close & (F.col("len") >= F.col("along") + clearance)
     if normals:
-        facing = sum((F.col(f"n{a}") * F.col(f"u{a}") for a in "xyz"), F.lit(0.0))
-        t = sum((F.col(f"n{a}") * p[a] for a in "xyz"), F.lit(0.0)) / F.when(F.abs(facing) > 1e-6, facing)
-        side2 = sum(((F.col(f"u{a}") * t - p[a]) * (F.col(f"u{a}") * t - p[a]) for a in "xyz"), F.lit(0.0))
-        crosses = (t > 0) & (side2 <= radius * radius) & (F.col("len") >= t + clearance)
-        passes = F.when(F.col("nx").isNotNull(), F.coalesce(crosses, F.lit(False))).otherwise(close & (F.col("len") >= along + clearance))
-    else:
-        passes = close & (F.col("len") >= along + clearance)
-    far = p2 > clearance * clearance
-    hits = close & (F.abs(F.col("len") - along) < clearance)
-    tests = met.select(*by, "k", "scan", *single, (passes & far).alias("pass"), (hits & far).alias("hit")).where("pass OR hit")
+        met = met.withColumns({"facing": dot("n", "u"), "plane": dot("n", "p")})
+        met = met.withColumn("t", F.when(F.abs("facing") > 1e-6, F.col("plane") / F.col("facing")))
+        side2 = sum(((F.col(f"u{a}") * F.col("t") - F.col(f"p{a}")) * (F.col(f"u{a}") * F.col("t") - F.col(f"p{a}")) for a in "xyz"), F.lit(0.0))
+        crosses = (F.col("p2") > clearance * clearance) & (F.col("t") > 0) & (side2 <= radius * radius) & (F.col("len") >= F.col("t") + clearance)
+        passes = F.when(F.col("nx").isNotNull(), F.coalesce(crosses, F.lit(False))).otherwise(passes)
+    hits = close & (F.abs(F.col("len") - F.col("along")) < clearance)
+    tests = met.select(*by, "k", "scan", *single, passes.alias("pass"), hits.alias("hit"))
     per_scan = tests.groupBy(*by, "k", "scan", *single).agg(F.max("pass").alias("pass"), F.max("hit").alias("hit"))
     if not single:  # one ray is enough, and meeting a node in several steps changes nothing
         return per_scan.where("pass AND NOT hit").select(*by, "k", "scan")
