@@ -47,6 +47,13 @@ def test_even_subsample_matches_its_definition(spark, n):
     assert got == want
 
 
+def test_even_subsample_of_a_long_scan(spark):
+    n, most = 400_000, 12_000  # places times most leave 32 bits
+    rows = spark.range(n).select(F.lit(0).alias("frame"), F.col("id").cast("int").alias("pt"))
+    got = sorted(r["pt"] for r in scans.even_subsample(rows, most).collect())
+    assert got == sorted({*(i * (n - 1) // (most - 1) for i in range(most - 1)), n - 1})
+
+
 def test_jacobi_leaves_isolated_nodes_without_confidence(spark):
     rows = spark.createDataFrame([(K.STEP["x"] * 9, 0.7, 0.1, 0.0, True)], "k long, s double, target double, c double, inside boolean")
     assert field.jacobi(rows, 2).first()["s"] == 0.7
