@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import keys as K
 from loomfield.operators import field, scans, votes
-from loomfield.plans import registry
+from loomfield.plans import mapping, registry
 from loomfield.plans import surrogates as S
 
 TINY = "/root/testdata/sf0.001"
@@ -80,3 +80,11 @@ def test_pass_votes_budget_is_the_reference_one(spark, monkeypatch):
     monkeypatch.setattr(scans, "even_subsample", lambda points, most, *_: asked.append(most) or points)
     registry.QUERIES["pass_votes"](spark, TINY)
     assert asked == [12_000]
+
+
+def test_regions_sum_samples_once(spark, monkeypatch):
+    asked = []
+    plain = field.prefixes
+    monkeypatch.setattr(field, "prefixes", lambda *a: asked.append(1) or plain(*a))
+    mapping.region(spark, TINY)
+    assert asked == [1]
