@@ -37,7 +37,7 @@ def test_places_of_many_copies_ask_no_neighbours(spark, tmp_path, monkeypatch):
     assert asked == []
 
 
-@pytest.mark.parametrize("name", ["sampled_nodes", "scan_samples"])
+@pytest.mark.parametrize("name", ["sampled_nodes", "scan_samples", "support_limits"])
 def test_places_of_many_copies_make_no_pairs(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(support, "support_limits", lambda *a, **b: pytest.fail("pairs of a place with itself"))
     assert not QUERIES[name](spark, repeated(tmp_path, "9")).isEmpty()
