@@ -141,13 +141,9 @@ def gradient_ctes(nodes: str, by: str) -> list[str]:
     ]
 
 
-def scan_rays(most: int = 12_000) -> list[str]:
-    """Evenly spaced rays of each scan, as in the query."""
-    return [
-        "en AS (SELECT frame, count(*) AS n FROM r0 WHERE frame % 10 <> 5 GROUP BY frame)",
-        f"es AS (SELECT frame, pt FROM r0 JOIN en USING (frame) WHERE n <= {most} UNION SELECT frame, CASE WHEN i = {most - 1} THEN n - 1 ELSE CAST(floor(i * (n - 1) / {most - 1}e0) AS BIGINT) END FROM en, (SELECT unnest(generate_series(0, {most - 1})) AS i) WHERE n > {most})",
-        "er AS (SELECT block AS c, frame AS scan, pt AS ray, x, y, z FROM r0 SEMI JOIN es USING (frame, pt))",
-    ]
+def scan_rays() -> list[str]:
+    """All rays of the scans that are not held out."""
+    return ["er AS (SELECT block AS c, frame AS scan, pt AS ray, x, y, z FROM r0 WHERE frame % 10 <> 5)"]
 
 
 _VOTES = [*_PREFIX, *gradient_ctes("pn", "c"), "cd AS (SELECT * FROM gr WHERE w > 0 AND s <= 0)", *scan_rays(), *vote_ctes("cd", "er", "c"), "bv AS MATERIALIZED (SELECT c, k, count(*) AS n_scans FROM vf GROUP BY c, k)"]

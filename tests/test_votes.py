@@ -5,12 +5,15 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomfield.functions import keys as K
 from loomfield.operators import field, scans, votes
 from loomfield.plans import mapping, registry
 from loomfield.plans import surrogates as S
+from loomfield.plans.catalog import ORACLES, QUERIES
+from tests.oracle import differences
 
 TINY = "/root/testdata/sf0.001"
 AROUND = list(itertools.product((-1, 0, 1), repeat=3))
@@ -88,3 +91,18 @@ def test_regions_sum_samples_once(spark, monkeypatch):
     monkeypatch.setattr(field, "prefixes", lambda *a: asked.append(1) or plain(*a))
     mapping.region(spark, TINY)
     assert asked == [1]
+
+
+@pytest.mark.parametrize("name", ["pass_votes", "block_votes", "ray_reach", "solve_region", "solved_region", "unit_evidence"])
+def test_all_rays_of_long_scans_vote(spark, monkeypatch, name):
+    monkeypatch.setattr(registry, "MAX_RAYS_PER_SCAN", 7)
+    assert differences(spark, name, TINY, QUERIES, ORACLES) == []
+
+
+def test_first_rays_only_spare_tests(spark):
+    n = registry.nodes(spark, TINY)
+    nodes = field.cut(n.select("k").join(field.normals(n), "k", "left"))
+    rays = field.cut(registry.rays(S.returns_plain(spark, TINY)))
+    want = sorted(map(tuple, votes.scan_votes(nodes, rays, 1.0, 2.5, 1.5).collect()))
+    for first in (rays.where("ex < 20"), rays, rays.where("false")):
+        assert sorted(map(tuple, votes.scan_votes(nodes, rays, 1.0, 2.5, 1.5, first=first).collect())) == want
